@@ -5,13 +5,15 @@ from __future__ import annotations
 import ipaddress
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import types as T
 
 _OCTET = r"(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 IPV4_PATTERN = r"\A" + _OCTET + r"(\." + _OCTET + r"){3}\z"
 IPV4_CIDR_PATTERN = r"\A" + _OCTET + r"(\." + _OCTET + r"){3}/(3[0-2]|[12]?[0-9])\z"
 
 RANGE_TYPE = "struct<family:int,lo:string,hi:string>"
+_RANGE = T.StructType([T.StructField("family", T.IntegerType()), T.StructField("lo", T.StringType()), T.StructField("hi", T.StringType())])
 
 
 def is_ipv4(text: Column) -> Column:
@@ -20,10 +22,8 @@ def is_ipv4(text: Column) -> Column:
 
 def ipv4_number(text: Column) -> Column:
     """Dotted quad to BIGINT; null when not a canonical dotted quad."""
-    parts = F.split(text, r"\.")
-    octet = [F.try_element_at(parts, F.lit(i + 1)).cast("long") for i in range(4)]
-    number = octet[0] * 16777216 + octet[1] * 65536 + octet[2] * 256 + octet[3]
-    return F.when(is_ipv4(text), number)
+    octets = F.split(F.when(is_ipv4(text), text), r"\.")
+    return F.aggregate(octets, F.lit(0).cast("long"), lambda acc, part: acc * 256 + part.cast("long"))
 
 
 def ipv4_text(number: Column) -> Column:
@@ -41,11 +41,13 @@ def ipv4_cidr_bounds(text: Column) -> tuple[Column, Column, Column]:
 
 
 def canonical_ipv4_cidr(text: Column) -> Column:
+    """Prefix with host bits cleared, or null."""
     low, _, length = ipv4_cidr_bounds(text)
-    return F.when(low.isNotNull(), F.concat(ipv4_text(low), F.lit("/"), length.cast("string")))
+    quads = F.transform(F.array(low), ipv4_text)
+    return F.when(low.isNotNull(), F.concat(F.element_at(quads, 1), F.lit("/"), length.cast("string")))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _canonical_address(texts: pd.Series) -> pd.Series:
     def canonical(text):
         try:
@@ -56,7 +58,7 @@ def _canonical_address(texts: pd.Series) -> pd.Series:
     return texts.map(canonical)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _canonical_network(texts: pd.Series) -> pd.Series:
     def canonical(text):
         try:
@@ -67,7 +69,7 @@ def _canonical_network(texts: pd.Series) -> pd.Series:
     return texts.map(canonical)
 
 
-@F.pandas_udf(RANGE_TYPE)
+@F.pandas_udf(_RANGE)
 def _address_range(texts: pd.Series) -> pd.DataFrame:
     def bounds(text):
         if text is None:
@@ -100,22 +102,26 @@ def _hex8(number: Column) -> Column:
     return F.lpad(F.lower(F.hex(number)), 8, "0")
 
 
-def address_range(text: Column, ipv6: bool = False) -> Column:
-    """Struct (family, lo, hi) with fixed-width hex bounds; null for non-addresses.
+def with_address_range(df: DataFrame, value: str, out: str, ipv6: bool = False) -> DataFrame:
+    """Add struct ``out`` (family, lo, hi) with fixed-width hex bounds; null for non-addresses.
 
     Hex text of one family compares like the number it writes, so one string
-    comparison serves IPv4 and IPv6.
+    comparison serves IPv4 and IPv6. Built in steps so that no expression is
+    repeated inside another.
     """
-    number = ipv4_number(text)
-    low, high, _ = ipv4_cidr_bounds(text)
-    v4 = (
-        F.when(number.isNotNull(), F.struct(F.lit(4).alias("family"), _hex8(number).alias("lo"), _hex8(number).alias("hi")))
-        .when(low.isNotNull(), F.struct(F.lit(4).alias("family"), _hex8(low).alias("lo"), _hex8(high).alias("hi")))
-    )
-    if not ipv6:
-        return v4
-    rest = _address_range(F.when(v4.isNull() & text.contains(":"), text))
-    return F.coalesce(v4, F.when(rest["family"].isNotNull(), rest))
+    text = F.col(value)
+    bare = is_ipv4(text)
+    cidr = F.coalesce(text.rlike(IPV4_CIDR_PATTERN), F.lit(False))
+    df = df.withColumns({
+        "_number": ipv4_number(F.when(bare | cidr, F.substring_index(text, "/", 1))),
+        "_size": F.pow(F.lit(2.0), F.lit(32) - F.when(cidr, F.substring_index(text, "/", -1)).otherwise("32").cast("int")).cast("long"),
+    }).withColumn("_low", F.expr("_number - _number % _size"))
+    v4 = F.when(F.col("_low").isNotNull(), F.struct(
+        F.lit(4).alias("family"), _hex8(F.col("_low")).alias("lo"), _hex8(F.col("_low") + F.col("_size") - 1).alias("hi")))
+    if ipv6:
+        df = df.withColumn("_rest", _address_range(F.when(F.col("_low").isNull() & text.contains(":"), text)))
+        v4 = F.coalesce(v4, F.when(F.col("_rest.family").isNotNull(), F.col("_rest"))) if ipv6 else v4
+    return df.withColumn(out, v4).drop("_number", "_size", "_low", "_rest")
 
 
 def range_literal(prefix: str) -> Column:

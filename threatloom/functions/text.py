@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
+from pyspark.sql import types as T
 
 # The character sets accepted at the trust boundary.
 ID_PATTERN = r"\A[A-Za-z0-9_.:\-]{1,128}\z"
@@ -45,7 +46,7 @@ def valid_fqdn(name: Column) -> Column:
     return _matches(bare, FQDN_PATTERN) & label_lengths_ok(bare)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _idna(names: pd.Series) -> pd.Series:
     def encode(name):
         if name is None:
