@@ -117,3 +117,74 @@ TLS_SQL = """tls AS (
          o_orderstatus <> 'F' AS has_sni, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS ts_iso,
          CAST(floor(epoch(o_orderdate)) AS BIGINT) AS epoch_s
   FROM orders)"""
+
+
+# --- indicators, evidence, registry ------------------------------------------------
+
+KINDS = (
+    "curated_source", "single_curated_source", "two_curated_sources", "contradictory_benign", "prior_false_positive",
+    "direct_local_detection", "behavioral_beacon_periodicity", "behavioral_dga_likelihood", "behavioral_dns_tunneling",
+    "behavioral_fastflux", "behavioral_volume_anomaly", "behavioral_first_seen_novelty", "behavioral_tls_metadata_mismatch",
+    "behavioral_sync_first_contact", "exact_fqdn", "exact_ip", "exact_url", "recent", "bounded_scope", "verified_rollback",
+    "dedicated_use", "dedicated_use_provenance", "exactness", "shared_cloud", "shared_cdn", "shared_hosting", "anonymizer",
+    "fastflux_shared", "unlisted_kind",
+)
+_KIND_LIST = ", ".join(f"'{k}'" for k in KINDS)
+
+_ITYPE = "CASE WHEN p_partkey % 8 < 3 THEN 'fqdn' WHEN p_partkey % 8 < 6 THEN 'ipv4' WHEN p_partkey % 8 = 6 THEN 'cidr' ELSE 'url' END"
+_VALUE = """CASE WHEN p_partkey % 8 < 3 THEN concat(CASE WHEN p_partkey % 50 = 0 THEN '*.' ELSE '' END, 'p', p_partkey,
+      CASE WHEN p_partkey % 20 = 9 THEN '.example' ELSE '.invalid' END)
+    WHEN p_partkey % 8 < 6 THEN concat('198.51.', 96 + p_partkey % 32, '.', {third})
+    WHEN p_partkey % 8 = 6 THEN concat('198.51.', 96 + p_partkey % 32, '.0/24') ELSE concat('https://u', p_partkey, '.invalid') END"""
+
+
+def indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One observable per part, four tenants, batches of 500."""
+    value = _VALUE.format(third="(p_partkey div 32) % 256")
+    return table(spark, sf_dir, "part").selectExpr(
+        "concat('indicator--', p_partkey) as indicator_id", f"{_ITYPE} as itype", f"{value} as value",
+        "concat('t', p_partkey % 4) as tenant_id", "concat('b', p_partkey div 500) as batch_id", "p_partkey as pos")
+
+
+def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "supplier").selectExpr(
+        "concat('src-', s_suppkey) as source_id",
+        "case when s_suppkey % 10 < 4 then 'curated' when s_suppkey % 10 < 7 then 'local' when s_suppkey % 10 = 7 then 'community' "
+        "when s_suppkey % 10 = 8 then 'annotation' else 'attribution' end as source_class",
+        "s_suppkey % 7 <> 0 as independent", "s_suppkey % 13 <> 0 as auto_enforcement_allowed",
+        "case when s_suppkey % 3 = 0 then concat('up-', s_nationkey % 5) end as upstream", "s_suppkey % 17 <> 3 as enabled")
+
+
+def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One record per order line about a part."""
+    rows = _timed(table(spark, sf_dir, "lineitem"), "l_shipdate").selectExpr(
+        "l_orderkey * 10 + l_linenumber as evidence_id", "concat('indicator--', l_partkey) as indicator_id",
+        "cast((ascii(l_returnflag) + ascii(l_linestatus) * 3 + l_linenumber * 5 + cast(l_quantity as int)) % 29 as int) as kind_no",
+        "l_suppkey", "ts_iso", "l_orderkey")
+    rows = rows.groupBy("evidence_id", "indicator_id").agg(
+        F.min("kind_no").alias("kind_no"), F.min("l_suppkey").alias("supplier"), F.min("ts_iso").alias("observed_at"))
+    return rows.selectExpr(
+        "evidence_id", "indicator_id", f"element_at(array({_KIND_LIST}), kind_no + 1) as kind",
+        "case when supplier % 11 = 5 then concat('ghost-', supplier) else concat('src-', supplier) end as source_id", "observed_at",
+        "concat('c', evidence_id % 9) as client",
+        "case when evidence_id % 4 = 0 then 'dns' when evidence_id % 4 = 1 then 'carrier-pigeon' else 'interactive_http' end as protocol_class")
+
+
+INDICATORS_SQL = f"""ind AS (
+  SELECT 'indicator--' || p_partkey AS indicator_id, {_ITYPE} AS itype, {_VALUE.format(third='(p_partkey // 32) % 256')} AS value,
+         't' || (p_partkey % 4) AS tenant_id, 'b' || (p_partkey // 500) AS batch_id, p_partkey AS pos FROM part)"""
+SOURCES_SQL = """src AS (
+  SELECT 'src-' || s_suppkey AS source_id,
+    CASE WHEN s_suppkey % 10 < 4 THEN 'curated' WHEN s_suppkey % 10 < 7 THEN 'local' WHEN s_suppkey % 10 = 7 THEN 'community'
+         WHEN s_suppkey % 10 = 8 THEN 'annotation' ELSE 'attribution' END AS source_class,
+    s_suppkey % 7 <> 0 AS independent, s_suppkey % 13 <> 0 AS auto_enforcement_allowed,
+    CASE WHEN s_suppkey % 3 = 0 THEN 'up-' || (s_nationkey % 5) END AS upstream, s_suppkey % 17 <> 3 AS enabled FROM supplier)"""
+EVIDENCE_SQL = f"""evi AS (
+  SELECT evidence_id, indicator_id, ([{_KIND_LIST}])[kind_no + 1] AS kind,
+    CASE WHEN supplier % 11 = 5 THEN 'ghost-' || supplier ELSE 'src-' || supplier END AS source_id, observed_at,
+    'c' || (evidence_id % 9) AS client,
+    CASE WHEN evidence_id % 4 = 0 THEN 'dns' WHEN evidence_id % 4 = 1 THEN 'carrier-pigeon' ELSE 'interactive_http' END AS protocol_class
+  FROM (SELECT l_orderkey * 10 + l_linenumber AS evidence_id, 'indicator--' || l_partkey AS indicator_id,
+          min((ascii(l_returnflag) + ascii(l_linestatus) * 3 + l_linenumber * 5 + CAST(floor(l_quantity) AS INT)) % 29) AS kind_no,
+          min(l_suppkey) AS supplier, min(strftime(l_shipdate, '%Y-%m-%dT%H:%M:%SZ')) AS observed_at
+        FROM lineitem GROUP BY 1, 2))"""
