@@ -155,3 +155,17 @@ def client_address(ref: Column) -> Column:
         .otherwise(text)
     )
     return canonical_ip(F.when(~address.contains("%"), address))
+
+
+def is_ipv6(text: Column) -> Column:
+    """Textual IPv6 test without Python: full form, or one '::' standing for at least one group."""
+    bare = F.regexp_replace(F.lower(text), r"%[^%]+\z", "")
+    flat = F.regexp_replace(bare, r"(?<=:)" + _OCTET + r"(\." + _OCTET + r"){3}\z", "0:0")
+    groups = F.size(F.filter(F.split(flat, ":"), lambda g: g != ""))
+    full = flat.rlike(r"\A([0-9a-f]{1,4}:){7}[0-9a-f]{1,4}\z")
+    short = flat.rlike(r"\A(([0-9a-f]{1,4}:)*[0-9a-f]{1,4})?::(([0-9a-f]{1,4}:)*[0-9a-f]{1,4})?\z") & (groups <= 7)
+    return F.coalesce(full | short, F.lit(False))
+
+
+def is_ip(text: Column) -> Column:
+    return is_ipv4(text) | is_ipv6(text)

@@ -13,18 +13,11 @@ from threatloom.plans.decide import apply_ladder, decide, scored_indicators
 from threatloom.plans.policy import AllowEntry, OVERLAY_SCHEMA, Policy, WEIGHTS, effective_policies
 from threatloom.queries import frames as f
 from threatloom.queries.frames import EVIDENCE_SQL, INDICATORS_SQL, SOURCES_SQL
+from threatloom.queries.registry import Registry
 from threatloom.session import cut_lineage
 
-QUERIES, ORACLES = {}, {}
-
-
-def query(name, sql=None):
-    def register(run):
-        QUERIES[name] = run
-        if sql:
-            ORACLES[name] = sql
-        return run
-    return register
+query = Registry()
+QUERIES, ORACLES = query.queries, query.oracles
 
 
 def _address(k: int) -> str:
@@ -38,8 +31,8 @@ ROLLBACK = tuple(sorted({_address(k) for k in range(400) if k % 8 in (3, 5)} | {
 ALLOWED = (AllowEntry("p1.invalid", "*"), AllowEntry("p2.invalid", "tables", "2001-01-01T00:00:00Z"),
            AllowEntry("p8.invalid", "tables", "whenever"), AllowEntry(_address(3), "elsewhere"), AllowEntry(_address(4), "tables", "2030-01-01T00:00:00Z"))
 POLICY = Policy(
-    version="tables-1", now="2001-06-01T00:00:00Z", mode="ENFORCE", scope="tables", observe_m=40,
-    rung_floors={"L1": (45, 20), "L2": (60, 50), "L4": (80, 60), "L5": (80, 60)}, authorized_prefixes=("198.51.96.0/20",),
+    version="tables-1", now="2001-06-01T00:00:00Z", mode="ENFORCE", scope="tables", observe_m=10,
+    rung_floors={"L1": (15, 5), "L2": (30, 20), "L4": (40, 25), "L5": (20, 25)}, deny_families=1, authorized_prefixes=("198.51.96.0/20",),
     authorized_domains=("invalid",), allowlist=ALLOWED, enabled_families=FAMILIES_ON, max_evidence_per_indicator=12,
     recency_max_age_hours=24.0 * 700, governed_dedicated_use=GOVERNED, governed_verified_rollback=ROLLBACK, randomization=True,
     bounds_version="rv-1", rotation_interval_s=86_400, ttl_jitter=(0.8, 1.0), nominal_rate_ceiling=240, rate_ceiling_jitter=(0.5, 1.0),
@@ -289,7 +282,7 @@ def decide_indicators(spark, sf_dir):
     return flat(decisions(spark, sf_dir))
 
 
-SHADOW = dataclasses.replace(POLICY, mode="SHADOW", version="tables-2", rung_floors={"L2": (70, 60), "L4": (90, 70)}, observe_m=50)
+SHADOW = dataclasses.replace(POLICY, mode="SHADOW", version="tables-2", rung_floors={"L2": (50, 30), "L4": (70, 40)}, observe_m=20)
 
 
 @query("decide_indicators_shadow", f"WITH {decided_sql(SHADOW)} SELECT {FLAT_SQL} FROM decided")
@@ -354,8 +347,8 @@ def overlays(spark, sf_dir):
 
 
 @query("tenant_effective_policies", """SELECT 't' || n_nationkey AS tenant_id, CASE n_nationkey % 4 WHEN 1 THEN 'OBSERVE' WHEN 3 THEN 'SHADOW' ELSE 'ENFORCE' END AS mode,
-  greatest(40, 30 + n_nationkey * 5) AS observe_m, least(3600, 600 * (n_nationkey % 9) + 60) AS max_auto_ttl_seconds,
-  CASE WHEN n_nationkey % 2 = 0 THEN 'corp.invalid' ELSE 'invalid' END AS authorized_domains, greatest(80, n_nationkey * 4 + 50) AS l4_floor_m FROM nation""")
+  greatest(10, 30 + n_nationkey * 5) AS observe_m, least(3600, 600 * (n_nationkey % 9) + 60) AS max_auto_ttl_seconds,
+  CASE WHEN n_nationkey % 2 = 0 THEN 'corp.invalid' ELSE 'invalid' END AS authorized_domains, greatest(40, n_nationkey * 4 + 50) AS l4_floor_m FROM nation""")
 def tenant_effective_policies(spark, sf_dir):
     given = overlays(spark, sf_dir)
     absent = [c.strip().split(" ", 1) for c in _split_schema(OVERLAY_SCHEMA)]
@@ -376,7 +369,7 @@ def _split_schema(schema):
             part += ch
 
 
-@query("ladder_context_free", f"WITH {scored_sql()} SELECT indicator_id, CASE WHEN NOT in_scope THEN 'NONE' WHEN m < 40 THEN 'NONE' ELSE 'L0' END AS rung FROM scored")
+@query("ladder_context_free", f"WITH {scored_sql()} SELECT indicator_id, CASE WHEN NOT in_scope THEN 'NONE' WHEN m < 10 THEN 'NONE' ELSE 'L0' END AS rung FROM scored")
 def ladder_context_free(spark, sf_dir):
     """Observe mode: only the gates and the observe threshold decide."""
     observe = dataclasses.replace(POLICY, mode="OBSERVE", allowlist=())

@@ -8,22 +8,15 @@ from threatloom.operators import detectors as d
 from threatloom.operators import scan
 from threatloom.queries import frames as f
 from threatloom.queries.frames import ANSWERS_SQL, CONTACTS_SQL, FLOWS_SQL, PAGES_SQL, TLS_SQL, TUNNEL_SQL
+from threatloom.queries.registry import Registry
 
 # Entropy with counts in ascending order, so both engines add in one order.
 ENTROPY_SQL = """CASE WHEN length({x}) <= 1 THEN 0 ELSE CAST(round_even(list_reduce(list_prepend(CAST(0 AS DOUBLE),
     list_transform(list_sort(list_transform(list_distinct(string_split({x}, '')), lambda c: length({x}) - length(replace({x}, c, '')))),
       lambda n: n * (log2(length({x})) - log2(n)))), lambda a, b: a + b) / length({x}) * 1000000.0, 0) AS BIGINT) END"""
 
-QUERIES, ORACLES = {}, {}
-
-
-def query(name, sql=None):
-    def register(run):
-        QUERIES[name] = run
-        if sql:
-            ORACLES[name] = sql
-        return run
-    return register
+query = Registry()
+QUERIES, ORACLES = query.queries, query.oracles
 
 
 # Gaps between contacts of one (user, name) pair span days here, hence the wide medians.
