@@ -251,17 +251,7 @@ def fastflux_windowed(answers: DataFrame, min_distinct: int = 5, min_answers: in
         .withColumn("_ttl", F.sum("ttl").over(trailing))
         .withColumn("first_seen", F.min("epoch_s").over(trailing))
     )
-    by_answer = W.partitionBy("domain", "answer").orderBy("epoch_s")
-    edges = (
-        sightings
-        .withColumn("_arrives", F.coalesce(F.col("epoch_s") - F.lag("epoch_s").over(by_answer) > window_s, F.lit(True)))
-        .withColumn("_leaves", F.coalesce(F.lead("epoch_s").over(by_answer) - F.col("epoch_s") > window_s, F.lit(True)))
-        .select("domain", F.explode(F.filter(F.array(
-            F.when(F.col("_arrives"), F.struct(F.col("epoch_s").alias("at"), F.lit(1).alias("step"))),
-            F.when(F.col("_leaves"), F.struct((F.col("epoch_s") + window_s + 1).alias("at"), F.lit(-1).alias("step"))),
-        ), lambda e: e.isNotNull())).alias("e"))
-        .groupBy("domain", F.col("e.at").alias("epoch_s")).agg(F.sum("e.step").alias("step"))
-    )
+    edges = scan.presence_edges(sightings, ["domain"], "answer", "epoch_s", window_s)
     so_far = W.partitionBy("domain").orderBy("epoch_s").rowsBetween(*scan.UP_TO)
     return (
         counted.join(edges, ["domain", "epoch_s"], "full")

@@ -138,3 +138,43 @@ def within_windows(rows: DataFrame, windows: DataFrame, keys: Sequence[str], at:
         rows.withColumn("_cell", chunk_of(at, width)).join(cells, [*keys, "_cell"])
         .where((F.col(at) >= F.col(start)) & (F.col(at) <= F.col(start) + span)).drop("_cell")
     )
+
+
+def presence_edges(sightings: DataFrame, keys: Sequence[str], item: str, at: str, window: int) -> DataFrame:
+    """Net change of the number of present items per (keys, at).
+
+    An item is present from a sighting until ``window`` later; overlapping
+    presences of one item count once. ``sightings`` holds one row per
+    (keys, item, at). A running sum of ``step`` is the distinct count of items
+    seen in the trailing window.
+    """
+    by_item = W.partitionBy(*keys, item).orderBy(at)
+    arrives = F.coalesce(F.col(at) - F.lag(at).over(by_item) > window, F.lit(True))
+    leaves = F.coalesce(F.lead(at).over(by_item) - F.col(at) > window, F.lit(True))
+    edge = lambda when, step: F.struct(when.cast("long").alias("at"), F.lit(step).alias("step"))
+    return (
+        sightings.withColumn("_arrives", arrives).withColumn("_leaves", leaves)
+        .select(*keys, F.explode(F.array_compact(F.array(
+            F.when(F.col("_arrives"), edge(F.col(at), 1)), F.when(F.col("_leaves"), edge(F.col(at) + window + 1, -1))))).alias("e"))
+        .groupBy(*keys, F.col("e.at").alias(at)).agg(F.sum("e.step").alias("step")))
+
+
+def counts_within(events: DataFrame, intervals: DataFrame, key: str, at: str, start: str, end: str, counted: dict[str, str], chunk: int) -> DataFrame:
+    """Add sums of ``counted`` over events of the interval's key with ``start <= at < end``.
+
+    Each interval asks for two running sums instead of meeting every event it
+    spans, so long intervals over a busy key cost two rows. A null end is open.
+    ``intervals`` needs a unique ``interval_id``.
+    """
+    sums = events.groupBy(key, at).agg(*[F.sum(c).alias(o) for o, c in counted.items()])
+    far = F.lit(1 << 62)
+    bounds = intervals.select(key, "interval_id", F.explode(F.array(
+        F.struct(F.col(start).cast("long").alias("at"), F.lit(-1).alias("sign")),
+        F.struct(F.coalesce(F.col(end).cast("long"), far).alias("at"), F.lit(1).alias("sign")))).alias("b"))
+    points = bounds.select(key, "interval_id", F.col("b.at").alias(at), F.col("b.sign").alias("sign"), *[F.lit(0).cast("long").alias(o) for o in counted])
+    marks = sums.select(key, F.lit(None).cast(bounds.schema["interval_id"].dataType).alias("interval_id"), at, F.lit(None).cast("int").alias("sign"), *counted)
+    both = points.unionByName(marks).withColumn("_mark", F.col("interval_id").isNull())
+    # Boundaries come before events of the same instant: the start is included, the end is not.
+    ran = running_sums(both, [key], at, [at, "_mark", "interval_id", "sign"], {f"_run_{o}": o for o in counted}, chunk)
+    totals = ran.where("not _mark").groupBy("interval_id").agg(*[F.sum(F.col("sign") * F.col(f"_run_{o}")).alias(o) for o in counted])
+    return intervals.join(totals, "interval_id", "left")
