@@ -20,14 +20,13 @@ from collections import deque
 from collections.abc import Iterable, Iterator
 from functools import reduce
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
-from pyspark.sql import types as T
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from threatloom.functions import text
 from threatloom.functions.instants import iso_of_epoch, times_agree
 from threatloom.operators import scan
+from threatloom.session import cut_lineage
 
 # Evidence kinds, family names and default thresholds.
 FAMILIES = (
@@ -167,24 +166,29 @@ def dns_tunneling(queries: DataFrame, window_queries: int = 200, min_queries: in
 # --- BD-4 answer churn -------------------------------------------------------
 
 def _retained_heads(seconds: DataFrame, ttl_s: int, keep: int) -> DataFrame:
-    """Per (domain, second): rows before it and the retained list's head after each row.
+    """Per (domain, second): totals before it and the retained list's head after each of its rows.
 
     The retained list is cut to its last ``keep`` rows whenever its head is
     older than ``ttl_s``. Inside one second the head settles within ``keep``
     rows, so that many heads describe the whole second.
     """
-    schema = "domain string, epoch_s long, before long, heads array<long>, heads_at array<long>"
+    schema = ("domain string, epoch_s long, before long, ttl_before long, distinct_before long, "
+              "heads array<long>, heads_at array<long>")
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def walk(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current = None
-        count, head, head_at, recent = 0, 0, 0, deque(maxlen=keep)
+        count = head = head_at = ttl_sum = distinct = 0
+        recent: deque[int] = deque(maxlen=keep)
         for pdf in batches:
             if pdf.empty:
                 continue
             out = []
-            for domain, at, n in zip(pdf["domain"], pdf["epoch_s"].tolist(), pdf["n"].tolist()):
+            columns = (pdf["domain"], *(pdf[c].tolist() for c in ("epoch_s", "n", "ttl", "new_answers")))
+            for domain, at, n, ttl, new in zip(*columns):
                 if domain != current:
-                    current, count, head, head_at, recent = domain, 0, 1, at, deque(maxlen=keep)
+                    current, count, head, head_at, ttl_sum, distinct = domain, 0, 1, at, 0, 0
+                    recent = deque(maxlen=keep)
                 before, heads, heads_at = count, [], []
                 for _ in range(min(n, keep)):
                     count += 1
@@ -198,38 +202,47 @@ def _retained_heads(seconds: DataFrame, ttl_s: int, keep: int) -> DataFrame:
                 if n > keep:
                     count += n - keep
                     recent.extend([at] * keep)
-                out.append((domain, at, before, heads, heads_at))
-            yield pd.DataFrame(out, columns=["domain", "epoch_s", "before", "heads", "heads_at"])
+                out.append((domain, at, before, ttl_sum, distinct, heads, heads_at))
+                ttl_sum += ttl
+                distinct += new
+            yield pd.DataFrame(out, columns=names)
 
-    return scan.key_sorted(seconds.select("domain", "epoch_s", "n"), ["domain"], ["epoch_s"]).mapInPandas(walk, schema)
+    ordered = scan.key_sorted(seconds.select("domain", "epoch_s", "n", "ttl", "new_answers"), ["domain"], ["epoch_s"])
+    return ordered.mapInPandas(walk, schema)
 
 
 def fastflux_retained(answers: DataFrame, min_distinct: int = 5, min_answers: int = 8, ttl_s: int = DAY_S,
-                      keep: int = 8, chunk_s: int = 60) -> DataFrame:
+                      keep: int = 8) -> DataFrame:
     """Domains churning through addresses; distinct answers and TTL sums never expire.
 
     ``events`` is the length of a retained list that is cut to its last
     ``keep`` answers once its head is older than ``ttl_s``. One row per answer.
+    Whole seconds are folded in order; rows are only ordered inside a second.
     """
-    order = ["epoch_s", "event_id", "answer"]
+    order = ["event_id", "answer"]
     rows = answers.withColumn("domain", text.strip_dots(F.col("domain"))).where("domain <> ''") \
         .select("domain", "answer", F.col("ttl").cast("long").alias("ttl"), "ts_iso", "epoch_s", "event_id")
     firsts = rows.groupBy("domain", "answer").agg(F.min(F.struct("epoch_s", "event_id")).alias("f")) \
         .select("domain", "answer", "f.epoch_s", "f.event_id", F.lit(1).alias("_new"))
-    flagged = rows.join(firsts, ["domain", "epoch_s", "event_id", "answer"], "left") \
-        .withColumn("_new", F.coalesce("_new", F.lit(0)))
-    summed = scan.running_sums(flagged, ["domain"], "epoch_s", order,
-                               {"distinct_answers": "_new", "ttl_sum": "ttl"}, chunk_s)
-    heads = _retained_heads(rows.groupBy("domain", "epoch_s").agg(F.count("*").alias("n")), ttl_s, keep)
-    in_second = W.partitionBy("domain", "epoch_s").orderBy(*order[1:])
+    seconds = rows.groupBy("domain", "epoch_s").agg(F.count("*").alias("n"), F.sum("ttl").alias("ttl")) \
+        .join(firsts.groupBy("domain", "epoch_s").agg(F.count("*").alias("new_answers")), ["domain", "epoch_s"], "left") \
+        .withColumn("new_answers", F.coalesce("new_answers", F.lit(0)))
+    flagged = rows.join(firsts, ["domain", "epoch_s", "event_id", "answer"], "left")
+    in_second = W.partitionBy("domain", "epoch_s").orderBy(*order)
+    so_far = in_second.rowsBetween(*scan.UP_TO)
     return (
-        summed.withColumn("_rn", F.row_number().over(in_second)).join(heads, ["domain", "epoch_s"])
+        flagged
+        .withColumn("_rn", F.row_number().over(in_second))
+        .withColumn("_ttl", F.sum("ttl").over(so_far))
+        .withColumn("_distinct", F.count("_new").over(so_far))
+        .join(_retained_heads(seconds, ttl_s, keep), ["domain", "epoch_s"])
         .withColumn("_slot", F.least(F.col("_rn"), F.size("heads")))
         .withColumn("events", F.col("before") + F.col("_rn") - F.element_at("heads", F.col("_slot")) + 1)
+        .withColumn("distinct_answers", F.col("distinct_before") + F.col("_distinct"))
         .where((F.col("events") >= min_answers) & (F.col("distinct_answers") >= min_distinct))
         .select(F.col("domain").alias("dst"), "event_id", "answer", "epoch_s", F.col("ts_iso").alias("observed_at"),
                 iso_of_epoch(F.element_at("heads_at", F.col("_slot"))).alias("first_seen"), "events", "distinct_answers",
-                F.expr("ttl_sum div events").alias("avg_ttl"))
+                F.expr("(ttl_before + _ttl) div events").alias("avg_ttl"))
     )
 
 
@@ -266,36 +279,43 @@ def fastflux_windowed(answers: DataFrame, min_distinct: int = 5, min_answers: in
 # --- BD-5 volume anomaly -----------------------------------------------------
 
 def _pair_windows(seconds: DataFrame, window_s: int) -> DataFrame:
-    """Per (host, dst, second): the volume window its flows belong to.
+    """Per (host, dst, second): the volume window its flows belong to and the window's bytes before it.
 
     The first flow later than ``window_s`` after a window's start closes it and
     is dropped with its bytes; the next flow opens a new window. ``dropped`` is
     1 when this second's first flow closed a window, ``start`` is null when no
-    flow of the second is left.
+    flow of the second is left. ``opened`` marks the second a window starts in,
+    ``first`` the pair's first second.
     """
-    schema = "host string, dst string, epoch_s long, start long, opened boolean, dropped int"
+    schema = ("host string, dst string, epoch_s long, start long, opened boolean, dropped int, first boolean, "
+              "out_before long, in_before long")
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def walk(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, start = None, None
+        current, start, out_sum, in_sum = None, None, 0, 0
         for pdf in batches:
             if pdf.empty:
                 continue
             out = []
-            for host, dst, at, n in zip(pdf["host"], pdf["dst"], pdf["epoch_s"].tolist(), pdf["n"].tolist()):
-                if (host, dst) != current:
+            numbers = (pdf[c].tolist() for c in ("epoch_s", "n", "out_bytes", "in_bytes", "first_out", "first_in"))
+            for host, dst, at, n, sent, got, first_sent, first_got in zip(pdf["host"], pdf["dst"], *numbers):
+                first = (host, dst) != current
+                if first:
                     current, start = (host, dst), None
                 dropped = 0
                 if start is not None and at - start > window_s:
                     start, dropped, n = None, 1, n - 1
+                    sent, got = sent - first_sent, got - first_got
                 opened = start is None and n > 0
                 if opened:
-                    start = at
-                out.append((host, dst, at, start, opened, dropped))
-            frame = pd.DataFrame(out, columns=["host", "dst", "epoch_s", "start", "opened", "dropped"])
+                    start, out_sum, in_sum = at, 0, 0
+                out.append((host, dst, at, start, opened, dropped, first, out_sum, in_sum))
+                out_sum += sent
+                in_sum += got
+            frame = pd.DataFrame(out, columns=names)
             yield frame.astype({"start": "Int64", "dropped": "int32"})
 
-    return scan.key_sorted(seconds.select("host", "dst", "epoch_s", "n"), ["host", "dst"], ["epoch_s"]) \
-        .mapInPandas(walk, schema)
+    return scan.key_sorted(seconds, ["host", "dst"], ["epoch_s"]).mapInPandas(walk, schema)
 
 
 def volume_anomaly(flows: DataFrame, window_s: int = 3600, min_bytes_out: int = 10 * 1024 * 1024,
@@ -303,41 +323,44 @@ def volume_anomaly(flows: DataFrame, window_s: int = 3600, min_bytes_out: int =
     """(host, dst) windows with enough bytes out that are inverted or focused.
 
     Focus: the host had already contacted ``min_diversity`` destinations when
-    the window opened.
+    the window opened. Whole seconds of a pair are folded in order, rows are
+    only ordered inside a second, and a host's destinations are counted over
+    first contacts, window openings and the rows past the byte floor alone.
     """
-    order = ["epoch_s", "event_id", "dst"]
     pair = ["host", "dst"]
     rows = flows.select(
         *pair, "event_id", "epoch_s", "ts_iso",
         F.greatest(F.lit(0), F.col("out_bytes")).cast("long").alias("out_bytes"),
         F.greatest(F.lit(0), F.col("in_bytes")).cast("long").alias("in_bytes"))
-    seconds = rows.groupBy(*pair, "epoch_s").agg(F.count("*").alias("n"))
-    windows = _pair_windows(seconds, window_s)
-
-    # A pair's first flow always opens a window, so first flows are the host's new destinations.
-    firsts = rows.groupBy(*pair).agg(F.min(F.struct("epoch_s", "event_id")).alias("f")) \
-        .select(*pair, "f.epoch_s", "f.event_id", F.lit(1).alias("_new"))
-    placed = (
-        rows.join(windows, [*pair, "epoch_s"])
-        .withColumn("_rn", F.row_number().over(W.partitionBy(*pair, "epoch_s").orderBy("event_id")))
-        .join(firsts, [*pair, "epoch_s", "event_id"], "left").withColumn("_new", F.coalesce("_new", F.lit(0)))
-    )
-    ranked = scan.running_sums(placed, ["host"], "epoch_s", order, {"host_distinct_dests": "_new"}, chunk_s)
-    live = (
-        ranked.where("_rn > dropped and start is not null")
-        # Destinations known before the flow that opened the window.
-        .withColumn("_prior", F.when(F.col("opened") & (F.col("_rn") == F.col("dropped") + 1),
-                                     F.col("host_distinct_dests") - F.col("_new")))
+    seconds = rows.groupBy(*pair, "epoch_s").agg(
+        F.count("*").alias("n"), F.sum("out_bytes").alias("out_bytes"), F.sum("in_bytes").alias("in_bytes"),
+        F.min(F.struct("event_id", "out_bytes", "in_bytes")).alias("_first")) \
+        .select(*pair, "epoch_s", "n", "out_bytes", "in_bytes", F.col("_first.out_bytes").alias("first_out"), F.col("_first.in_bytes").alias("first_in"))
+    # The fold's output is read twice per use below; one written copy serves all.
+    windows = cut_lineage(_pair_windows(seconds, window_s))
+    in_second = W.partitionBy(*pair, "epoch_s").orderBy("event_id")
+    numbered = rows.withColumn("_rn", F.row_number().over(in_second)).join(windows, [*pair, "epoch_s"])
+    so_far = in_second.rowsBetween(*scan.UP_TO)
+    kept = F.col("_rn") > F.col("dropped")
+    rows_in = (
+        numbered
+        .withColumn("bytes_out", F.col("out_before") + F.sum(F.when(kept, F.col("out_bytes")).otherwise(0)).over(so_far))
+        .withColumn("bytes_in", F.col("in_before") + F.sum(F.when(kept, F.col("in_bytes")).otherwise(0)).over(so_far))
+        .withColumn("is_new", (F.col("first") & (F.col("_rn") == 1)).cast("int"))
+        .withColumn("opens", F.col("opened") & (F.col("_rn") == F.col("dropped") + 1))
+        .withColumn("heavy", kept & F.col("start").isNotNull() & (F.col("bytes_out") >= min_bytes_out))
     )
-    opening = live.where("_prior is not null").select(*pair, "start", F.col("_prior").alias("prior_dests"))
-    summed = scan.running_sums(live.drop("_prior"), [*pair, "start"], "epoch_s", ["epoch_s", "event_id"],
-                               {"bytes_out": "out_bytes", "bytes_in": "in_bytes"}, chunk_s)
     inverted = (F.col("bytes_in") > 0) & (F.col("bytes_out") > F.col("bytes_in") * 5) if inversion else F.lit(False)
+    marks = rows_in.where("heavy or opens or is_new = 1") \
+        .select(*pair, "event_id", "epoch_s", "ts_iso", "start", "bytes_out", "bytes_in", "is_new", "opens", "heavy")
+    ranked = cut_lineage(scan.running_sums(
+        marks, ["host"], "epoch_s", ["epoch_s", "event_id", "dst"], {"host_distinct_dests": "is_new"}, chunk_s))
+    # Destinations known before the flow that opened the window, one row per window.
+    prior = ranked.where("opens").select(*pair, "start", (F.col("host_distinct_dests") - F.col("is_new")).alias("_prior"))
     return (
-        summed.where(F.col("bytes_out") >= min_bytes_out)
-        .join(opening, [*pair, "start"])
+        ranked.where("heavy").join(prior, [*pair, "start"])
         .withColumn("inversion", inverted)
-        .withColumn("focused", (F.col("prior_dests") >= min_diversity) & F.lit(min_diversity > 1))
+        .withColumn("focused", (F.col("_prior") >= min_diversity) & F.lit(min_diversity > 1))
         .where("inversion or focused")
         .select(F.col("host").alias("src"), "dst", "event_id", "epoch_s", F.col("ts_iso").alias("observed_at"),
                 "bytes_out", "bytes_in", "inversion", "focused", "host_distinct_dests")

@@ -73,16 +73,18 @@ def family_of_kind(kind: Column) -> Column:
     return F.when(family != "", family)
 
 
-def decision_bearing(evidence: DataFrame, enabled_families: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    """(rows that may influence a decision, kinds dropped per indicator because their family is off)."""
-    authoritative = evidence.where(~F.col("effective_class").isin(*ZERO_WEIGHT_CLASSES))
+def decision_bearing(evidence: DataFrame, enabled_families: Column | None = None) -> DataFrame:
+    """Rows of authoritative sources; ``off`` marks those whose behavioural family the policy disables."""
     if enabled_families is None:
         enabled_families = F.array().cast("array<string>")
     family = family_of_kind(F.col("kind"))
     off = family.isNotNull() & (F.size(enabled_families) > 0) & ~F.coalesce(F.array_contains(enabled_families, family), F.lit(False))
-    gated = authoritative.withColumn("_off", off)
-    dropped = gated.where("_off").groupBy("indicator_id").agg(F.sort_array(F.collect_set("kind")).alias("disabled_kinds"))
-    return gated.where("not _off").drop("_off"), dropped
+    return evidence.where(~F.col("effective_class").isin(*ZERO_WEIGHT_CLASSES)).withColumn("off", off)
+
+
+def disabled_kinds(bearing: DataFrame) -> DataFrame:
+    """Kinds dropped per indicator because their family is off."""
+    return bearing.where("off").groupBy("indicator_id").agg(F.sort_array(F.collect_set("kind")).alias("disabled_kinds"))
 
 
 def dedup_evidence(evidence: DataFrame) -> DataFrame:
@@ -103,11 +105,12 @@ def envelope(evidence: DataFrame, cap: int) -> DataFrame:
     return evidence.withColumn("_rn", F.row_number().over(by_indicator)).where(F.col("_rn") <= cap).drop("_rn")
 
 
-def dedup_counts(deduped: DataFrame, cap: int) -> DataFrame:
-    """Rows dropped as copies and rows beyond the envelope, per indicator."""
+def dedup_counts(deduped: DataFrame) -> DataFrame:
+    """Per indicator: copies dropped, rows kept, and the kinds of disabled families."""
+    on = ~F.col("off")
     return deduped.groupBy("indicator_id").agg(
-        (F.sum("copies") - F.count("*")).alias("dup_dropped"),
-        F.greatest(F.count("*") - cap, F.lit(0)).cast("long").alias("truncated"))
+        F.sum(F.when(on, F.col("copies") - 1).otherwise(0)).alias("dup_dropped"), F.count_if(on).alias("kept"),
+        F.sort_array(F.collect_set(F.when(F.col("off"), F.col("kind")))).alias("disabled_kinds"))
 
 
 def corroboration(evidence: DataFrame, now: Column, max_age_hours: float) -> DataFrame:
@@ -132,17 +135,13 @@ def observation_context(evidence: DataFrame) -> DataFrame:
     ``evidence`` carries ``client`` and ``protocol_class``. Votes are counted
     with map-side combine before they meet per indicator.
     """
-    client = F.trim(F.col("client"))
-    protocol = F.trim(F.col("protocol_class"))
-
-    def winner(value: Column, keep: Column, name: str) -> DataFrame:
-        votes = evidence.where(keep).groupBy("indicator_id", value.alias("_value")).agg(F.count("*").alias("n"))
-        return votes.groupBy("indicator_id").agg(F.min(F.struct((-F.col("n")).alias("n"), F.col("_value").alias("v"))).alias("_best")) \
-            .select("indicator_id", F.col("_best.v").alias(name))
-
-    clients = winner(client, client.isNotNull() & (client != ""), "client")
-    protocols = winner(protocol, protocol.isin(*KNOWN_PROTOCOLS), "protocol_class")
-    return clients.join(protocols, "indicator_id", "full") \
+    client, protocol = F.trim(F.col("client")), F.trim(F.col("protocol_class"))
+    ballots = F.array_compact(F.array(
+        F.when(client != "", F.struct(F.lit("client").alias("tag"), client.alias("v"))),
+        F.when(protocol.isin(*KNOWN_PROTOCOLS), F.struct(F.lit("protocol").alias("tag"), protocol.alias("v")))))
+    votes = evidence.select("indicator_id", F.explode(ballots).alias("b")).groupBy("indicator_id", "b.tag", "b.v").agg(F.count("*").alias("n"))
+    best = lambda tag: F.min(F.when(F.col("tag") == tag, F.struct((-F.col("n")).alias("n"), F.col("v"))))["v"]
+    return votes.groupBy("indicator_id").agg(best("client").alias("client"), best("protocol").alias("protocol_class")) \
         .withColumn("protocol_class", F.when(~F.col("protocol_class").isin(*NON_INTERACTIVE_PROTOCOLS), F.col("protocol_class")))
 
 

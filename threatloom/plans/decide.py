@@ -118,27 +118,19 @@ def scored_indicators(indicators: DataFrame, evidence: DataFrame, sources: DataF
     tenant_gate = "_policy" in indicators.columns
     if tenant_gate:
         proven = proven.join(facts.select("indicator_id", "_families"), "indicator_id")
-        bearing, dropped = ev.decision_bearing(proven, F.col("_families"))
-        bearing = bearing.drop("_families")
+        bearing = ev.decision_bearing(proven, F.col("_families")).drop("_families")
     else:
-        bearing, dropped = ev.decision_bearing(proven, p["enabled_families"])
+        bearing = ev.decision_bearing(proven, p["enabled_families"])
+    # Rows of disabled families pass through the same aggregate, only to be counted and named.
     deduped = ev.dedup_evidence(bearing)
-    bounded = ev.envelope(deduped, cap)
-    counts = ev.dedup_counts(deduped, cap)
+    bounded = ev.envelope(deduped.where("not off"), cap)
     if tenant_gate:
         own = W.partitionBy("indicator_id").orderBy("evidence_id")
         bounded = bounded.join(facts.select("indicator_id", "_cap"), "indicator_id") \
             .withColumn("_rn", F.row_number().over(own)).where("_rn <= _cap").drop("_rn", "_cap")
-        counts = deduped.groupBy("indicator_id").agg(F.sum("copies").alias("_all"), F.count("*").alias("_kept")) \
-            .join(facts.select("indicator_id", "_cap"), "indicator_id") \
-            .select("indicator_id", (F.col("_all") - F.col("_kept")).alias("dup_dropped"),
-                    F.greatest(F.col("_kept") - F.col("_cap"), F.lit(0)).cast("long").alias("truncated"))
-    scores = score(bounded.drop("copies"), facts.drop("_families", "_cap"), weights_frame(indicators.sparkSession), policy.recency_max_age_hours)
-    joined = indicators.join(scores, "indicator_id", "left").join(counts, "indicator_id", "left")
-    if policy.enabled_families or tenant_gate:
-        joined = joined.join(dropped, "indicator_id", "left")
-    else:
-        joined = joined.withColumn("disabled_kinds", F.lit(None).cast("array<string>"))
+    scores = score(bounded.drop("copies", "off"), facts.drop("_families", "_cap"), weights_frame(indicators.sparkSession), policy.recency_max_age_hours)
+    joined = indicators.join(scores, "indicator_id", "left").join(ev.dedup_counts(deduped), "indicator_id", "left") \
+        .withColumn("truncated", F.greatest(F.col("kept") - p["max_evidence_per_indicator"], F.lit(0)))
     zero = {c: F.coalesce(F.col(c), F.lit(0)).cast("long") for c in ("m_total", "bm", "s_ctx", "s_ip", "families", "external_upstreams", "dup_dropped", "truncated")}
     flags = {c: F.coalesce(F.col(c), F.lit(False)) for c in ("has_dedicated", "has_unqualified", "has_shared")}
     joined = joined.withColumns({**zero, **flags})
@@ -158,7 +150,7 @@ def scored_indicators(indicators: DataFrame, evidence: DataFrame, sources: DataF
         .withColumn("m", F.when(capped, clamped(F.col("m_total") - F.col("bm") + cap_m)).otherwise(clamped(F.col("m_total"))).cast("long"))
         .withColumn("score_reasons", F.concat(F.coalesce("reasons", F.array().cast("array<string>")), extra, disabled))
         .withColumn("infra_state", F.when(F.col("has_shared"), "shared").when(F.col("has_dedicated"), "dedicated").otherwise("unknown"))
-        .drop("reasons", "disabled_kinds", "m_total", "dup_dropped", "truncated", "has_shared", "has_unqualified"))
+        .drop("reasons", "disabled_kinds", "m_total", "dup_dropped", "kept", "truncated", "has_shared", "has_unqualified"))
 
 
 def _flag(condition: Column, reason: str) -> Column:

@@ -153,9 +153,10 @@ def decided_sql(policy=POLICY, out="decided"):
         return "NULL" if rung and rung not in fl else f"CASE WHEN {cond} THEN '{text}' END"
 
     return f"""{scored_sql(policy)}, {CONTEXT_SQL},
-l0 AS (SELECT s.*, c.client, c.protocol, itype = 'ipv4' AS ip, itype = 'fqdn' AS fqdn, fams > 0 AND fams < {policy.deny_families} AS thin,
+l0 AS (SELECT s.*, CASE WHEN regexp_full_match(c.client, '[A-Za-z0-9_.:-]{{1,128}}') THEN c.client END AS client,
+    c.client IS NOT NULL AND NOT regexp_full_match(c.client, '[A-Za-z0-9_.:-]{{1,128}}') AS unsafe, c.protocol, itype = 'ipv4' AS ip, itype = 'fqdn' AS fqdn, fams > 0 AND fams < {policy.deny_families} AS thin,
     fams > 0 AND {str(policy.deny_requires_external).lower()} AND ups = 0 AS alone, infra <> 'dedicated' OR NOT ded AS noded,
-    c.client IS NOT NULL AND c.client <> '' AS hasc, c.protocol IS NOT NULL AS inter,
+    coalesce(regexp_full_match(c.client, '[A-Za-z0-9_.:-]{{1,128}}'), false) AS hasc, c.protocol IS NOT NULL AS inter,
     CASE WHEN {allow} ELSE false END AS allow FROM scored s LEFT JOIN ctx c USING (indicator_id)),
 l1 AS (SELECT *, CASE WHEN ip AND NOT thin AND NOT alone AND NOT noded AND {floor_case('L5', 's_ip')} THEN 'L5'
     WHEN fqdn AND NOT thin AND NOT alone AND {floor_case('L4', 's_ctx')} THEN 'L4' WHEN (ip OR fqdn) AND hasc AND {floor_case('L2', 's_ctx')} THEN 'L2'
@@ -172,7 +173,7 @@ l2 AS (SELECT *, CASE path WHEN 'observe' THEN 'L0' WHEN 'wild' THEN 'L4' WHEN '
     list_filter([{reason("path = 'out'", 'out_of_authorized_scope')}, CASE WHEN path = 'allow' THEN 'allowlist_hit:' || value END,
       {reason("path = 'allow'", 'allowlist_precedence')}, {reason("path = 'wild'", 'wildcard_requires_approval')}, {reason("path = 'cidr'", 'prefix_requires_approval')},
       {reason("path = 'cidr'", 'materialization_unavailable:no_supported_adapter')},
-      {reason("path = 'ladder' AND thin", 'behavioral_corroboration_insufficient')}, {reason("path = 'ladder' AND alone", 'behavioral_deny_needs_external_corroboration')},
+      {reason("path = 'ladder' AND unsafe", 'client_selector_unsafe_for_artifacts')}, {reason("path = 'ladder' AND thin", 'behavioral_corroboration_insufficient')}, {reason("path = 'ladder' AND alone", 'behavioral_deny_needs_external_corroboration')},
       {reason("path = 'ladder' AND ip AND noded AND infra = 'shared'", 'demoted_shared_infra')}, {reason("path = 'ladder' AND ip AND noded AND infra <> 'shared'", 'demoted_unknown_infra')},
       {reason("path = 'ladder' AND itype <> 'cidr' AND NOT inter", 'l1_requires_interactive_protocol')},
       {reason("path = 'ladder' AND itype <> 'cidr' AND NOT hasc", 'l1_requires_client_selector')}, {reason("path = 'ladder' AND (ip OR fqdn) AND NOT hasc", 'l2_requires_pair_selector')},
@@ -230,18 +231,18 @@ def _bearing(spark, sf_dir, policy=POLICY):
 
 @query("evidence_family_gate", f"WITH {bounded_sql()} SELECT indicator_id, array_to_string(list_sort(list(DISTINCT kind)), ';') AS disabled_kinds FROM be WHERE off GROUP BY 1")
 def evidence_family_gate(spark, sf_dir):
-    return _bearing(spark, sf_dir)[1].select("indicator_id", F.array_join("disabled_kinds", ";").alias("disabled_kinds"))
+    return ev.disabled_kinds(_bearing(spark, sf_dir)).select("indicator_id", F.array_join("disabled_kinds", ";").alias("disabled_kinds"))
 
 
 @query("evidence_dedup", f"WITH {bounded_sql()}, n AS (SELECT indicator_id, identity, kind, observed_at, count(*) AS copies FROM kept GROUP BY ALL) "
        "SELECT indicator_id, identity, kind, observed_at, evidence_id, source_id, copies FROM kept JOIN n USING (indicator_id, identity, kind, observed_at) WHERE dn = 1")
 def evidence_dedup(spark, sf_dir):
-    return ev.dedup_evidence(_bearing(spark, sf_dir)[0]).select("indicator_id", "identity", "kind", "observed_at", "evidence_id", "source_id", "copies")
+    return ev.dedup_evidence(_bearing(spark, sf_dir).where("not off")).select("indicator_id", "identity", "kind", "observed_at", "evidence_id", "source_id", "copies")
 
 
 @query("evidence_envelope", f"WITH {bounded_sql()} SELECT indicator_id, evidence_id, kind FROM bo")
 def evidence_envelope(spark, sf_dir):
-    return ev.envelope(ev.dedup_evidence(_bearing(spark, sf_dir)[0]), POLICY.max_evidence_per_indicator).select("indicator_id", "evidence_id", "kind")
+    return ev.envelope(ev.dedup_evidence(_bearing(spark, sf_dir).where("not off")), POLICY.max_evidence_per_indicator).select("indicator_id", "evidence_id", "kind")
 
 
 @query("corroboration_tier", f"WITH {PROVENANCE_SQL}, d AS (SELECT indicator_id, count(DISTINCT CASE WHEN source_class IN ('curated', 'community') AND qualified "

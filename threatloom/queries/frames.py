@@ -9,10 +9,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from threatloom.functions.instants import iso_of
+from threatloom.session import spread
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """A table; with ``columns``, only those, spread over the cores for per-row work."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows.select(*columns)) if columns else rows
 
 
 def _timed(df: DataFrame, ts: str) -> DataFrame:
@@ -36,7 +39,7 @@ CONTACTS_SQL = """contacts AS (
 
 def tunnel_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """DNS queries where odd events carry a long hashed label."""
-    return _timed(table(spark, sf_dir, "events"), "ts").selectExpr(
+    return _timed(table(spark, sf_dir, "events", "event_id", "user_id", "ts"), "ts").selectExpr(
         "event_id", "concat('u', user_id % 5) as src",
         "concat(case when event_id % 2 = 1 then substr(sha2(cast(event_id as string), 256), 1, 63) else 'www' end, '.t.example') as dst",
         "case when event_id % 3 = 0 then 'TXT' else 'A' end as qtype", "ts_iso", "epoch_s")

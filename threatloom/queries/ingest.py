@@ -36,7 +36,7 @@ _EVE_LINE = f"""
 
 
 def eve_parsed(spark, sf_dir):
-    lines = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int")).selectExpr("event_id", f"{_EVE_LINE} as line")
+    lines = table(spark, sf_dir, "events", "event_id", "user_id", "ts", "props").withColumn("k", F.get_json_object("props", "$.k").cast("int")).selectExpr("event_id", f"{_EVE_LINE} as line")
     return eve.parse_eve(lines)
 
 
@@ -100,7 +100,7 @@ _LOG_LINE = f"""
 
 
 def log_parsed(spark, sf_dir):
-    return access_logs.parse_access_log(table(spark, sf_dir, "orders").selectExpr("o_orderkey", f"{_LOG_LINE} as line"))
+    return access_logs.parse_access_log(table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate").selectExpr("o_orderkey", f"{_LOG_LINE} as line"))
 
 
 @query("access_log_records", """WITH o AS (SELECT *, o_orderkey % 5 AS slot, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%SZ') AS day FROM orders)
@@ -137,7 +137,7 @@ _TX_LINE = f"""
     WHEN 4 THEN 'header_order must be a list of unique short strings (max 64)' WHEN 5 THEN 'header_order must be a list of unique short strings (max 64)' ELSE '' END AS violations
 FROM orders WHERE o_orderkey % 10 <> 9""")
 def transaction_contract(spark, sf_dir):
-    parsed = transactions.parse_transactions(table(spark, sf_dir, "orders").selectExpr("o_orderkey", f"{_TX_LINE} as line"))
+    parsed = transactions.parse_transactions(table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate").selectExpr("o_orderkey", f"{_TX_LINE} as line"))
     return parsed.select("o_orderkey", "client_ref", "tls_ja4", F.array_join("violations", ";").alias("violations"))
 
 
