@@ -139,22 +139,25 @@ def subnet_of(inner: Column, outer: Column) -> Column:
     return (inner["family"] == outer["family"]) & (inner["lo"] >= outer["lo"]) & (inner["hi"] <= outer["hi"])
 
 
-def client_address(ref: Column) -> Column:
-    """One canonical address for the spellings terminators log, else null.
+def with_client_address(df: DataFrame, raw: str, out: str) -> DataFrame:
+    """Add ``out``: one canonical address for the spellings terminators log, else null.
 
-    v4:port and [v6]:port lose the port; zone ids are refused.
+    v4:port and [v6]:port lose the port; zone ids are refused. Built in steps,
+    each a column of its own.
     """
-    text = F.trim(ref)
+    text = F.col("_text")
     bracketed = text.startswith("[") & text.contains("]")
-    after = F.substring_index(text, "]", -1)
     colons = F.length(text) - F.length(F.replace(text, F.lit(":"), F.lit("")))
     address = (
-        F.when(bracketed & (F.size(F.split(text, "]")) == 2) & after.startswith(":"), F.regexp_extract(text, r"\A\[([^\]]*)\]", 1))
-        .when(bracketed, F.lit(None).cast("string"))
+        F.when(bracketed, F.nullif(F.regexp_extract(text, r"\A\[([^\]]*)\]:[^\]]*\z", 1), F.lit("")))
         .when(colons == 1, F.substring_index(text, ":", 1))
         .otherwise(text)
     )
-    return canonical_ip(F.when(~address.contains("%"), address))
+    df = df.withColumn("_text", F.trim(F.col(raw))).withColumn("_address", address)
+    known = F.when(~F.col("_address").contains("%"), F.trim("_address"))
+    df = df.withColumn("_address", known).withColumn("_v4", is_ipv4(F.col("_address")))
+    other = _canonical_address(F.when(~F.col("_v4") & F.col("_address").contains(":"), F.col("_address")))
+    return df.withColumn(out, F.when(F.col("_v4"), F.col("_address")).otherwise(other)).drop("_text", "_address", "_v4")
 
 
 def is_ipv6(text: Column) -> Column:

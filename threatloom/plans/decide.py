@@ -307,7 +307,7 @@ def decide(indicators: DataFrame, evidence: DataFrame, sources: DataFrame, polic
         p = tenant_columns(policy)
     if context is None and {"client", "protocol_class"} <= set(evidence.columns):
         context = ev.observation_context(evidence)
-    scored = scored_indicators(indicators, evidence, sources, policy, p if overlays is not None else None, ipv6)
+    scored = scored_indicators(indicators, evidence, sources, policy, p, ipv6)
     if context is None:
         scored = scored.withColumns({"client": F.lit(None).cast("string"), "protocol_class": F.lit(None).cast("string")})
     else:

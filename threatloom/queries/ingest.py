@@ -216,7 +216,7 @@ def canonical_addresses(spark, sf_dir):
 def client_addresses(spark, sf_dir):
     raw = table(spark, sf_dir, "customer").selectExpr("c_custkey as k", """case c_custkey % 6 when 0 then concat('10.0.0.', c_custkey % 256, ':5', c_custkey) when 1 then '[2001:0db8::1]:443'
         when 2 then 'fe80::1%eth0' when 3 then concat(' 10.1.1.', c_custkey % 256) when 4 then concat('2001:DB8::', hex(c_custkey)) else concat('host-', c_custkey) end as v""")
-    return raw.select("k", net.client_address(F.col("v")).alias("client"))
+    return net.with_client_address(raw, "v", "client").select("k", "client")
 
 
 @query("identifier_checks", r"""SELECT page_id, regexp_full_match(url, '[A-Za-z0-9_.:\-]{1,128}') AS id_ok, regexp_full_match(url, '[A-Za-z0-9_.\-/:]{1,128}') AS label_ok,

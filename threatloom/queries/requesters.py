@@ -9,6 +9,7 @@ from threatloom.functions.instants import iso_of, utc_literal
 from threatloom.operators import correlation
 from threatloom.queries.frames import table
 from threatloom.queries.registry import Registry
+from threatloom.session import cut_lineage
 
 query = Registry()
 QUERIES, ORACLES = query.queries, query.oracles
@@ -83,7 +84,8 @@ p AS (SELECT a.fingerprint AS a, b.fingerprint AS b, count(*) AS keys, count(*)
   FROM x a JOIN x b ON a.feature = b.feature AND a.fingerprint < b.fingerprint GROUP BY 1, 2)
 SELECT a, b, same AS shared_probes FROM p WHERE same >= 3 OR (same = least_n AND same >= 2 AND same = keys)""")
 def fingerprint_links(spark, sf_dir):
-    return correlation.fingerprint_links(states(spark, sf_dir), tile=50)
+    # The link search reads the states several times.
+    return correlation.fingerprint_links(cut_lineage(states(spark, sf_dir)), tile=200)
 
 
 @query("fingerprint_similarity", f"""WITH {_STATES}, n AS (SELECT client_ref, list(feature ORDER BY feature) AS keys FROM bf GROUP BY 1),

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from threatloom.functions.instants import iso_of, parse_instant
-from threatloom.functions.net import client_address
+from threatloom.functions.net import with_client_address
 from threatloom.sources.transactions import json_text, validated
 
 # Line shapes of the three supported log formats.
@@ -61,7 +61,8 @@ def parse_access_log(lines: DataFrame) -> DataFrame:
     # One address column for all formats: the IPv6 helper runs once per line at most.
     raw = F.when(fmt == "envoy", first_word).when(fmt == "haproxy", F.col("_h_client")) \
         .when(fmt == "nginx", F.try_variant_get(json, "$.remote_addr", "string"))
-    rows = rows.withColumn("client_ref", client_address(raw)).withColumn("log_format", F.when(F.col("client_ref").isNotNull(), fmt))
+    rows = with_client_address(rows.withColumn("_raw", raw), "_raw", "client_ref") \
+        .withColumn("log_format", F.when(F.col("client_ref").isNotNull(), fmt))
     fmt = F.col("log_format")
     stamp = F.when(fmt == "envoy", F.col("_e_ts")).when(fmt == "haproxy", F.col("_h_ts")).when(fmt == "nginx", time)
     names = F.slice(F.filter(F.split(json_text(json, "header_order"), r"\|"), lambda h: h != ""), 1, 64)
