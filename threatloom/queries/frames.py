@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from threatloom.functions.instants import iso_of
+from threatloom.functions.instants import iso_of, iso_of_epoch
 from threatloom.session import spread
 
 
@@ -163,9 +163,11 @@ def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _timed(table(spark, sf_dir, "lineitem"), "l_shipdate").selectExpr(
         "l_orderkey * 10 + l_linenumber as evidence_id", "concat('indicator--', l_partkey) as indicator_id",
         "cast((ascii(l_returnflag) + ascii(l_linestatus) * 3 + l_linenumber * 5 + cast(l_quantity as int)) % 29 as int) as kind_no",
-        "l_suppkey", "ts_iso", "l_orderkey")
+        "l_suppkey", "epoch_s")
+    # Numbers only, so that this is a hash aggregate; the text form follows.
     rows = rows.groupBy("evidence_id", "indicator_id").agg(
-        F.min("kind_no").alias("kind_no"), F.min("l_suppkey").alias("supplier"), F.min("ts_iso").alias("observed_at"))
+        F.min("kind_no").alias("kind_no"), F.min("l_suppkey").alias("supplier"), F.min("epoch_s").alias("at")) \
+        .withColumn("observed_at", iso_of_epoch(F.col("at")))
     return rows.selectExpr(
         "evidence_id", "indicator_id", f"element_at(array({_KIND_LIST}), kind_no + 1) as kind",
         "case when supplier % 11 = 5 then concat('ghost-', supplier) else concat('src-', supplier) end as source_id", "observed_at",
