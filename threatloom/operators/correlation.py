@@ -131,3 +131,22 @@ def fingerprint_links(states: DataFrame, min_similarity: int = 3, tile: int = 20
         links = links.unionByName(found.select(
             F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit(size).cast("long").alias("shared_probes")))
     return links
+
+
+def correlation_report(states: DataFrame, min_similarity: int = 3) -> DataFrame:
+    """The analyst's worklist as rows, ready for ``write.json``: totals, groups, members and links.
+
+    Long rows instead of one document: a group or the link list may be any size.
+    """
+    text, number = lambda c: c.cast("string"), lambda c: c.cast("long")
+
+    def rows(df: DataFrame, section: str, a: Column, b: Column, n: Column) -> DataFrame:
+        return df.select(F.lit(section).alias("section"), text(a).alias("a"), text(b).alias("b"), number(n).alias("n"))
+
+    none = F.lit(None)
+    total = states.agg(F.count("*").alias("n"))
+    links = fingerprint_links(states, min_similarity)
+    return rows(total, "tracked_requesters", none, none, F.col("n")) \
+        .unionByName(rows(fingerprint_groups(states), "fingerprint_group", F.col("fingerprint"), none, F.col("probe_count"))) \
+        .unionByName(rows(states, "member", F.col("fingerprint"), F.col("handle"), F.col("transactions"))) \
+        .unionByName(rows(links, "link", F.col("a"), F.col("b"), F.col("shared_probes")))

@@ -98,3 +98,15 @@ def fingerprint_similarity(spark, sf_dir):
         .withColumn("at", F.conv(F.substring("handle", 5, 12), 16, 10).cast("long"))
     linked = scan.lag_by_chunk(numbered.withColumn("at", -F.col("at")), "at", ["features"], 1 << 40)
     return linked.where("prev_features is not null").select("handle", correlation.similarity(F.col("features"), F.col("prev_features")).cast("long").alias("shared"))
+
+
+@query("correlation_report", f"""WITH {_STATES}, d AS (SELECT fingerprint, min(client_ref) AS client_ref, max(probes) AS n FROM states GROUP BY 1),
+x AS (SELECT fingerprint, n, feature, value FROM d JOIN bf USING (client_ref)),
+p AS (SELECT a.fingerprint AS a, b.fingerprint AS b, count(*) AS keys, count(*) FILTER (a.value = b.value) AS same, least(any_value(a.n), any_value(b.n)) AS least_n
+  FROM x a JOIN x b ON a.feature = b.feature AND a.fingerprint < b.fingerprint GROUP BY 1, 2)
+SELECT 'tracked_requesters' AS section, NULL::VARCHAR AS a, NULL::VARCHAR AS b, count(*) AS n FROM states
+UNION ALL SELECT 'fingerprint_group', fingerprint, NULL, max(probes) FROM states GROUP BY fingerprint
+UNION ALL SELECT 'member', fingerprint, handle, transactions FROM states
+UNION ALL SELECT 'link', a, b, same FROM p WHERE same >= 5 OR (same = least_n AND same >= 2 AND same = keys)""")
+def correlation_report(spark, sf_dir):
+    return correlation.correlation_report(cut_lineage(states(spark, sf_dir)), min_similarity=5)
