@@ -38,17 +38,26 @@ def build_session(app: str = "threatloom", master: str | None = None, shuffle_pa
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder the cluster names.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder named in ``spark.checkpoint.dir``, made known to the context.
 
-    The folder comes from ``spark.checkpoint.dir``; a folder of our own is set
-    only when the session names none, which is the case in local tests.
+    Without that setting a local session gets a folder of its own; on a cluster its absence is an error, because
+    executors would write to folders that the others cannot see.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not named:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        named = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     if context.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        context.setCheckpointDir(named)
+    return named
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder the cluster names."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
