@@ -2,17 +2,67 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import functions as F
 
-from threatloom.llm import simhash
-from threatloom.llm.common import table
+from threatloom.llm import decontaminate, line_dedup, packing, quality_rules, simhash
+from threatloom.llm.common import LOWER, UPPER, table
 from threatloom.queries.registry import Registry
 
 _register = Registry()
 QUERIES, ORACLES = _register.queries, _register.oracles
 
+_SPACES = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
 
 @_register("op1_simhash")
 def op1_simhash(spark, sf_dir):
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+_SHINGLES = """list_transform(range(1, greatest(len({w}) - 4, 1) + 1), lambda i: array_to_string({w}[i:i + 4], ' '))"""
+
+
+def _shingle_rows(name: str, key: str, source: str) -> str:
+    return f"""{name}_words AS (SELECT {key}, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM {source}),
+    {name} AS (SELECT DISTINCT {key}, unnest({_SHINGLES.format(w='w')}) AS s FROM {name}_words WHERE len(w) > 0)"""
+
+
+@_register("op3_decontaminate", f"""
+    WITH {_shingle_rows('d', 'doc_id', 'documents')}, {_shingle_rows('b', 'item_id', 'benchmark')},
+    n AS (SELECT item_id, count(*) AS n_item FROM b GROUP BY item_id),
+    hits AS (SELECT doc_id, item_id, count(*) AS n_shared FROM d JOIN b USING (s) GROUP BY doc_id, item_id)
+    SELECT doc_id, item_id, n_shared, n_item, n_shared / n_item AS containment FROM hits JOIN n USING (item_id) WHERE n_shared >= 0.8 * n_item""")
+def op3_decontaminate(spark, sf_dir):
+    return decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@_register("op5_packing")
+def op5_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"), corpus_pipeline.tokenizer_path())
+
+
+@_register("op6_line_dedup", f"""
+    WITH lines AS (
+        SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
+    keyed AS (SELECT *, translate(trim(line, {_SPACES}), '{UPPER}', '{LOWER}') AS k FROM lines),
+    common AS (SELECT k, max(doc_id) AS last_doc FROM keyed WHERE length(k) >= 40 GROUP BY k HAVING count(DISTINCT doc_id) >= 5),
+    marked AS (SELECT keyed.*, common.k IS NOT NULL AND doc_id <> last_doc AS gone FROM keyed LEFT JOIN common USING (k))
+    SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+    FROM marked GROUP BY doc_id""")
+def op6_line_dedup(spark, sf_dir):
+    found = line_dedup.without_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+@_register("op8_quality_rules")
+def op8_quality_rules(spark, sf_dir):
+    return quality_rules.judged(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "d2")
+
+
+@_register("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark, sf_dir):
+    return corpus_pipeline.run(spark, sf_dir)
