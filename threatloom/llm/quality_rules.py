@@ -17,14 +17,14 @@ KEPT_SHARE = 0.75
 #: Groups with fewer documents are judged with the rest of their language, then with the rest of the table.
 LEAST_GROUP = 200
 #: Names of the transformed statistics, and the spread below which a difference means nothing.
-AXES = {"word_length": 0.35, "symbols": 0.1, "dup_lines": 0.2, "repeats": 0.2}
+AXES = {"word_length": 0.35, "symbols": 0.1, "dup_lines": 0.2, "repeats": 0.2, "capitals": 0.1, "marks": 0.1}
 STEPS = 4
 #: Chance that a normal vector lies beyond the cut. The transformed statistics have longer tails than that.
-TAIL = 1e-12
+TAIL = 1e-4
 
 
 def text_statistics(docs: DataFrame) -> DataFrame:
-    """(doc_id, lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words) of whole texts; null counts as no words.
+    """(doc_id, lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_capitals, n_marks, n_repeat_words) of whole texts; null counts as no words.
 
     Repeated windows are found inside the row: window hashes, cut to leave room for the position, are sorted as plain longs,
     and neighbours with equal hashes are compared word by word.
@@ -36,9 +36,10 @@ def text_statistics(docs: DataFrame) -> DataFrame:
         "doc_id", "lang", "source",
         F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, f"[{SPACE_CLASS}]+")).alias("words"),
         F.length(F.regexp_replace(text, f"[{SPACE_CLASS}]+", "")).cast("long").alias("word_chars"),
-        F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"), lines.alias("lines"))
+        F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
+        F.regexp_count(text, F.lit(r"\p{Lu}")).cast("long").alias("n_capitals"), F.regexp_count(text, F.lit(r"[\p{P}\p{S}]")).cast("long").alias("n_marks"), lines.alias("lines"))
     counted = split.select(
-        "doc_id", "lang", "source", "word_chars", "n_symbols", "words", F.size("words").cast("long").alias("n_words"),
+        "doc_id", "lang", "source", "word_chars", "n_symbols", "n_capitals", "n_marks", "words", F.size("words").cast("long").alias("n_words"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.length(F.bin(F.size("words").cast("long"))).alias("width"))
     keys = counted.withColumn("keys", F.expr("""
@@ -51,7 +52,7 @@ def text_statistics(docs: DataFrame) -> DataFrame:
     marked = keys.withColumn("places", F.expr(f"""
         sort_array(filter(transform(keys, (key, k) -> CASE WHEN {same} OR {_shifted(same)} THEN key & low END), p -> p IS NOT NULL))"""))
     return marked.select(
-        "doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines",
+        "doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_capitals", "n_marks",
         F.expr("""aggregate(places, named_struct('until', 0L, 'total', 0L),
             (a, p) -> named_struct('until', p + 3, 'total', a.total + p + 3 - greatest(a.until, p)), a -> a.total)""").alias("n_repeat_words"))
 
@@ -67,10 +68,11 @@ def base_failed() -> Column:
 
 
 def _transformed(stats: DataFrame) -> DataFrame:
-    """Mean word length, and square roots of the shares of symbols, of repeated lines (per word) and of repeated words."""
+    """Mean word length, and square roots of the shares of symbols, repeated lines (per word), repeated words, capitals and marks."""
     words, chars = F.col("n_words").cast("double"), F.col("word_chars").cast("double")
     return stats.select("*", (chars / words).alias("word_length"), F.sqrt(F.col("n_symbols") / chars).alias("symbols"),
-                        F.sqrt(F.col("n_dup_lines") / words).alias("dup_lines"), F.sqrt(F.col("n_repeat_words") / words).alias("repeats"))
+                        F.sqrt(F.col("n_dup_lines") / words).alias("dup_lines"), F.sqrt(F.col("n_repeat_words") / words).alias("repeats"),
+                        F.sqrt(F.col("n_capitals") / chars).alias("capitals"), F.sqrt(F.col("n_marks") / chars).alias("marks"))
 
 
 def chi_square_cdf(x: float, degrees: int) -> float:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 from pyspark.sql import functions as F
 
-from threatloom.llm import decontaminate, line_dedup, packing, quality_rules, simhash
+from threatloom.llm import decontaminate, line_dedup, packing, ppm, quality_rules, simhash
 from threatloom.llm.common import LOWER, UPPER, table
 from threatloom.queries.registry import Registry
 
@@ -66,3 +66,8 @@ def op8_quality_rules(spark, sf_dir):
 @_register("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
+
+
+@_register("op2_ppm")
+def op2_ppm(spark, sf_dir):
+    return ppm.scored(table(spark, sf_dir, "documents"))
