@@ -5,7 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 from pyspark.sql import functions as F
 
-from threatloom.llm import decontaminate, line_dedup, packing, ppm, quality_rules, simhash
+from threatloom.llm import decontaminate, langid, line_dedup, packing, ppm, quality_rules, simhash
 from threatloom.llm.common import LOWER, UPPER, table
 from threatloom.queries.registry import Registry
 
@@ -71,3 +71,8 @@ def pipeline(spark, sf_dir):
 @_register("op2_ppm")
 def op2_ppm(spark, sf_dir):
     return ppm.scored(table(spark, sf_dir, "documents"))
+
+
+@_register("op9_langid")
+def op9_langid(spark, sf_dir):
+    return langid.identified(table(spark, sf_dir, "documents"))
