@@ -5,7 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 from pyspark.sql import functions as F
 
-from threatloom.llm import decontaminate, langid, line_dedup, packing, ppm, quality_rules, simhash
+from threatloom.llm import decontaminate, langid, line_dedup, packing, ppm, quality_rules, simhash, warc
 from threatloom.llm.common import LOWER, UPPER, table
 from threatloom.queries.registry import Registry
 
@@ -76,3 +76,19 @@ def op2_ppm(spark, sf_dir):
 @_register("op9_langid")
 def op9_langid(spark, sf_dir):
     return langid.identified(table(spark, sf_dir, "documents"))
+
+
+_BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+
+
+@_register("op10_warc", f"""
+    WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+    d AS (SELECT *, min(page_id) OVER (PARTITION BY html) AS keeper,
+        list_transform(range(0, 40), lambda i: strpos('0123456789abcdef', h[i + 1]) - 1) AS n FROM p)
+    SELECT page_id, octet_length(encode(html)) AS payload_bytes,
+        array_to_string(list_transform(range(0, 32), lambda k: substr('{_BASE32}', 1 + CAST((
+            n[(k * 5) // 4 + 1] * 16 + (CASE WHEN (k * 5) // 4 + 2 <= 40 THEN n[(k * 5) // 4 + 2] ELSE 0 END)) // CAST(power(2, 3 - (k * 5) % 4) AS INTEGER) AS INTEGER) % 32, 1)), '') AS payload_digest,
+        CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> keeper THEN keeper END AS refers_to
+    FROM d""")
+def op10_warc(spark, sf_dir):
+    return warc.archived(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
