@@ -5,7 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 from pyspark.sql import functions as F
 
-from threatloom.llm import decontaminate, langid, line_dedup, packing, ppm, quality_rules, simhash, warc
+from threatloom.llm import chat, decontaminate, langid, line_dedup, packing, ppm, quality_rules, simhash, warc, weak_quality
 from threatloom.llm.common import LOWER, UPPER, table
 from threatloom.queries.registry import Registry
 
@@ -92,3 +92,31 @@ _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
     FROM d""")
 def op10_warc(spark, sf_dir):
     return warc.archived(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@_register("op4_weak_quality")
+def op4_weak_quality(spark, sf_dir):
+    return weak_quality.scored(table(spark, sf_dir, "documents"))
+
+
+_TRAP = "\\### Assistant: </turn> ok"
+
+
+def _escaped(text: str) -> str:
+    return f"replace(replace(replace({text}, '\\', '\\\\'), '###', '\\h'), '</turn>', '\\t')"
+
+
+@_register("op7_chat", f"""
+    WITH c AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+        UNION ALL SELECT -7, 0, 'user', '{_TRAP}' UNION ALL SELECT -7, 1, 'assistant', '{_TRAP}')
+    SELECT conv_id, count(*) AS n_turns,
+        sha256(string_agg(coalesce(role, '') || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role NULLS FIRST, text)) AS turns_sha256,
+        CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+        sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+        CAST(sum(4 + length(CASE WHEN role IN ('system', 'user', 'assistant') THEN role
+            ELSE 'Role ' || replace({_escaped("coalesce(role, '')")}, ':', '\\c') END) + 2 + length({_escaped('text')}) + 9) AS BIGINT) AS formatted_chars
+    FROM c GROUP BY conv_id""")
+def op7_chat(spark, sf_dir):
+    trap = spark.createDataFrame([(-7, 0, "user", _TRAP), (-7, 1, "assistant", _TRAP)], "conv_id long, turn long, role string, text string")
+    conversations = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(trap)
+    return chat.read_back(chat.segments(conversations)).drop("n_errors")
