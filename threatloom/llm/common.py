@@ -53,3 +53,11 @@ def remove_folder(spark: SparkSession, path: str) -> None:
 
 def text_bytes(column: str = "text") -> "F.Column":
     return F.col(column).cast("binary").alias(column)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from threatloom.llm.common import map_arrow, text_bytes, words_of
+from threatloom.llm.common import fresh, map_arrow, text_bytes, words_of
 
 WIDTH, CONTAINMENT = 5, 0.8
 #: MinHash functions; each is a band of its own.
@@ -206,5 +206,6 @@ def contained_items(docs: DataFrame, benchmark: DataFrame, containment: float =
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that contain no item, with all their columns."""
-    bad = contained_items(docs, benchmark).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad")), "left_anti")
+    name = fresh(docs, "bad_id")
+    bad = contained_items(docs, benchmark).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col(name)), "left_anti")

@@ -8,7 +8,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from threatloom.llm.common import map_arrow, remove_folder, shared_folder, text_bytes, written
+from threatloom.llm.common import fresh, map_arrow, remove_folder, shared_folder, text_bytes, written
 
 SPACES = b" \t\n\x0b\x0c\r"
 LEAST_CHARS, LEAST_DOCS = 40, 5
@@ -126,18 +126,18 @@ def without_repeats(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs:
     every = repeats[0]
     for more in repeats[1:]:
         every = every.unionByName(more)
-    dropped = every.join(common, ["high", "low"], "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("high", "low")).alias("_dropped"))
-    joined = docs.withColumn("_id", F.coalesce("doc_id", F.lit(NO_ID))).join(dropped.withColumnRenamed("doc_id", "_id"), "_id", "left").drop("_id")
     names = [c for c in docs.columns if c not in ("text", "n_lines", "n_dropped")]
-    frame = joined.select(*names, text_bytes(), "_dropped")
-    fields = [docs.select(*names).schema[c] for c in names]
+    key, gone_from = fresh(docs, "dedup_id"), fresh(docs, "dedup_lines")
+    dropped = every.join(common, ["high", "low"], "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("high", "low")).alias(gone_from)).withColumnRenamed("doc_id", key)
+    frame = docs.withColumn(key, F.coalesce("doc_id", F.lit(NO_ID))).join(dropped, key, "left").select(*names, text_bytes(), gone_from)
+    passed = docs.select(*names).schema
     schema = docs.select(*names).schema.add("text", "string").add("n_lines", "long").add("n_dropped", "long")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, totals, gone = [], [], []
-            drops = batch.column(len(fields) + 1).to_pylist()
-            for text, drop in zip(batch.column(len(fields)).to_pylist(), drops):
+            drops = batch.column(len(passed) + 1).to_pylist()
+            for text, drop in zip(batch.column(len(passed)).to_pylist(), drops):
                 lines = (text or b"").split(b"\n")
                 kept = lines
                 if drop:
@@ -147,7 +147,7 @@ def without_repeats(docs: DataFrame, least_chars: int = LEAST_CHARS, least_docs:
                 totals.append(len(lines))
                 gone.append(len(lines) - len(kept))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[: len(fields)], pa.array(texts, pa.binary()).cast(pa.string()), pa.array(totals, pa.int64()), pa.array(gone, pa.int64())],
+                [*batch.columns[: len(passed)], pa.array(texts, pa.binary()).cast(pa.string()), pa.array(totals, pa.int64()), pa.array(gone, pa.int64())],
                 [*names, "text", "n_lines", "n_dropped"])
 
     return map_arrow(frame, rows, schema)

@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from threatloom.llm.common import SPACE_CHARS, SPACE_CLASS, written
+from threatloom.llm.common import SPACE_CHARS, SPACE_CLASS, fresh, written
 from threatloom.session import cut_lineage
 
 WINDOW = 3
@@ -180,4 +180,5 @@ def fit(rows: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that the rules keep, with all their columns; a doc_id goes only if all its rows are rejected."""
     good = judged(docs).where("kept").select("doc_id").distinct()
-    return docs.join(good.withColumnRenamed("doc_id", "_kept"), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    kept = fresh(docs, "kept_id")
+    return docs.join(good.withColumnRenamed("doc_id", kept), F.col("doc_id").eqNullSafe(F.col(kept)), "left_semi")

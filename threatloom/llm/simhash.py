@@ -12,7 +12,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from threatloom.llm.common import map_arrow, text_bytes, words_of, written
+from threatloom.llm.common import fresh, map_arrow, text_bytes, words_of, written
 from threatloom.llm.components import connected_components
 
 SEED = 42
@@ -280,7 +280,8 @@ def keep_one(docs: DataFrame, width: int = 5, layout: Layout = SIMILAR_08) -> Da
 
     doc_id names a document: of rows that repeat it the first by text, lang and source stays. Rows without a doc_id stay.
     """
-    leaders = near_duplicates(docs, width, layout).where("doc_id = component_id").select("doc_id", F.lit(True).alias("_leads")).distinct()
+    leads, nth = fresh(docs, "leads"), fresh(docs, "nth")
+    leaders = near_duplicates(docs, width, layout).where("doc_id = component_id").select("doc_id", F.lit(True).alias(leads)).distinct()
     first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text", "lang", "source"))
-    kept = docs.join(leaders, "doc_id", "left").where("_leads or doc_id is null").withColumn("_nth", first)
-    return kept.where("_nth = 1 or doc_id is null").select(*docs.columns)
+    kept = docs.join(leaders, "doc_id", "left").where(F.col(leads) | F.col("doc_id").isNull()).withColumn(nth, first)
+    return kept.where((F.col(nth) == 1) | F.col("doc_id").isNull()).select(*docs.columns)

@@ -20,6 +20,8 @@ LABELLERS = ("symbols", "capitals", "marks", "repeats", "dup_lines", "short_line
 TRAIN_DOCS = 6_000
 BUCKETS, ROUNDS = 1 << 18, 150
 STEPS = 60
+#: Bounds on the labellers: how often a high document may be called low, and the least share of low ones called high.
+MOST_FALSE_LOW, LEAST_BLIND = 0.01, 0.4
 #: Score from which a document is kept, and words that the prior weighs.
 KEEP, PRIOR_WORDS = 0.5, 10
 
@@ -48,12 +50,12 @@ def votes(text: bytes) -> int:
     found = (
         _band(symbols / n, 0.1, 0.4),
         _band(capitals / chars, 0.12, 0.4),
-        _band(marks / n, 0.5, 0.9),
-        _band(repeated, 0.15, 0.4),
-        _band(1 - len(set(lines)) / len(lines), 0.1, 0.3),
+        _band(marks / n, 0.5, 0.9) if n >= 10 else ABSTAIN,
+        _band(repeated, 0.15, 0.4) if n >= 40 else ABSTAIN,
+        _band(1 - len(set(lines)) / len(lines), 0.1, 0.3) if len(lines) > 5 else ABSTAIN,
         _band(sum(len(s.split()) < 4 for s in lines) / len(lines), 0.4, 0.8) if len(lines) > 3 else ABSTAIN,
-        HIGH if 3.5 <= chars / n <= 11 else LOW if not 2.5 <= chars / n <= 14 else ABSTAIN,
-        HIGH if 0.02 <= ends / n <= 0.3 else LOW if ends > 0.6 * n or n > 100 and not ends else ABSTAIN,
+        ABSTAIN if n < 20 else HIGH if 3.5 <= chars / n <= 11 else LOW if not 2.5 <= chars / n <= 14 else ABSTAIN,
+        HIGH if 0.02 <= ends / n <= 0.3 else LOW if n >= 10 and ends > 0.6 * n or n > 100 and not ends else ABSTAIN,
         ABSTAIN if n < 30 else HIGH if len(set(words)) > 8 * n ** 0.5 or len(set(words)) > 0.4 * n else LOW if len(set(words)) < 2 * n ** 0.5 else ABSTAIN,
     )
     pattern = 0
@@ -67,7 +69,10 @@ def _digits(patterns: np.ndarray) -> np.ndarray:
 
 
 class LabelModel:
-    """Labellers that err independently given the true label: how often each gives each vote for low and for high documents."""
+    """Labellers that err independently given the true label: where one votes, how often low and high, for low and for high documents.
+
+    Abstaining says nothing, so its rate is 1 for either label.
+    """
 
     def __init__(self, share_high: float, rates: np.ndarray):
         self.share_high, self.rates = share_high, rates  # rates: labeller, label (low, high), vote
@@ -100,7 +105,11 @@ def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, steps: in
         for k in range(len(LABELLERS)):
             for vote in range(3):
                 rates[k, :, vote] = both[:, digits[:, k] == vote].sum(axis=1)
-        rates = (rates + 1e-4) / (rates + 1e-4).sum(axis=2, keepdims=True)
+        rates[:, :, ABSTAIN], rates[:, :, 1:] = 1.0, (rates[:, :, 1:] + 1e-4) / (rates[:, :, 1:] + 1e-4).sum(axis=2, keepdims=True)
+        # Low documents are low in few ways each: a labeller seldom calls a high one low, and often finds no fault with a low one.
+        rates[:, 1, LOW] = np.minimum(rates[:, 1, LOW], MOST_FALSE_LOW)
+        rates[:, 0, HIGH] = np.maximum(rates[:, 0, HIGH], LEAST_BLIND)
+        rates[:, :, 1:] /= rates[:, :, 1:].sum(axis=2, keepdims=True)
         model = LabelModel(float(np.clip(both[1].sum(), 0.01, 0.99)), rates)
         belief = model.posterior(patterns)
     return model
