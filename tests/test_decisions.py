@@ -3,6 +3,7 @@
 import dataclasses
 
 import pytest
+from pyspark.sql import functions as F
 
 from threatloom.plans.budgets import apply_action_budget, apply_client_impact_budget, replay_changes, stale_authorizations
 from threatloom.plans.decide import decide
@@ -187,3 +188,32 @@ def test_stale_authorizations(spark):
     got = {r.action_id: r.stale_reason for r in stale_authorizations(actions, inds, decisions, policy).collect()}
     assert got["a1"].startswith("posture_not_permitted") and got["a2"] == "policy_revision_changed"
     assert got["a3"] == "authorizing_decision_missing" and got["a4"] == "indicator_missing"
+
+
+SPELLINGS = [
+    ("2001:db8::7", "ipv6", "2001:DB8:0::7"), ("2001:db8::7", "ipv6", "2001:db8::7/128"), ("2001:db8:1::/48", "cidr", "2001:db8:1::5/48"),
+    ("10.0.0.7", "ipv4", "10.0.0.7/32"), ("10.1.0.0/16", "cidr", "10.1.2.3/16"), ("bücher.example", "fqdn", "xn--bcher-kva.example."),
+    ("Bücher.example", "fqdn", "BÜCHER.EXAMPLE"), ("1:0:0:2:0:0:0:3", "ipv6", "1:0:0:2::3"), ("a_b.example", "fqdn", "A_b.example.")]
+
+
+def test_allowlist_keys_meet_in_any_spelling(spark):
+    from threatloom.plans.decide import canonical_key
+    from threatloom.plans.policy import allow_key
+
+    values = spark.createDataFrame([(v,) for pair in SPELLINGS for v in (pair[0], pair[2])], "v string")
+    keys = {r.v: r.k for r in values.select("v", canonical_key(F.col("v")).alias("k")).collect()}
+    for value, _, other in SPELLINGS:
+        assert keys[value] == keys[other] == allow_key(value) == allow_key(other)
+
+
+def test_scope_and_reauthorisation_of_both_families(spark):
+    from threatloom.plans.budgets import stale_authorizations
+
+    policy = dataclasses.replace(POLICY, mode="ENFORCE", unrestricted=False, authorized_prefixes=("2001:db8::/32", "10.0.0.0/8"), authorized_domains=("example",), allowlist=())
+    values = [("in6", "ipv6", "2001:db8::7"), ("long6", "ipv6", "2001:0db8:0:0:0:0:0:8"), ("net6", "cidr", "2001:db8:5::/48"), ("wide6", "cidr", "2001::/16"), ("out6", "ipv6", "2001:db9::1"),
+              ("in4", "ipv4", "10.9.9.9"), ("out4", "ipv4", "11.0.0.1"), ("name", "fqdn", "a.example"), ("bad", "ipv6", "2001:db8::zz")]
+    indicators = spark.createDataFrame(values, "indicator_id string, itype string, value string")
+    actions = spark.createDataFrame([(f"a-{v[0]}", v[0], "ENFORCE", "d") for v in values], "action_id string, indicator_id string, mode string, decision_id string")
+    decisions = spark.createDataFrame([("d", policy.content_sha256)], "decision_id string, policy_content_sha256 string")
+    stale = {r.indicator_id for r in stale_authorizations(actions, indicators, decisions, policy).collect()}
+    assert stale == {"wide6", "out6", "out4", "bad"}

@@ -1,19 +1,18 @@
-"""Addresses and prefixes. IPv4 stays in the JVM; IPv6 goes through Arrow."""
+"""Addresses and prefixes of both families, as JVM expressions."""
 
 from __future__ import annotations
 
 import ipaddress
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql import types as T
 
 _OCTET = r"(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 IPV4_PATTERN = r"\A" + _OCTET + r"(\." + _OCTET + r"){3}\z"
 IPV4_CIDR_PATTERN = r"\A" + _OCTET + r"(\." + _OCTET + r"){3}/(3[0-2]|[12]?[0-9])\z"
 
+
+
 RANGE_TYPE = "struct<family:int,lo:string,hi:string>"
-_RANGE = T.StructType([T.StructField("family", T.IntegerType()), T.StructField("lo", T.StringType()), T.StructField("hi", T.StringType())])
 
 
 def is_ipv4(text: Column) -> Column:
@@ -47,62 +46,93 @@ def canonical_ipv4_cidr(text: Column) -> Column:
     return F.when(low.isNotNull(), F.concat(F.element_at(quads, 1), F.lit("/"), length.cast("string")))
 
 
-@F.pandas_udf(T.StringType())
-def _canonical_address(texts: pd.Series) -> pd.Series:
-    def canonical(text):
-        try:
-            return None if text is None else str(ipaddress.ip_address(text))
-        except ValueError:
-            return None
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, however often the expression names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _quad_groups(text: Column) -> Column:
+    """A dotted quad at the end of an IPv6 text written as its last two groups."""
+    quad = F.regexp_extract(text, r"(?<=:)(" + _OCTET + r"(\." + _OCTET + r"){3})\z", 1)
+    digits = F.lpad(F.lower(F.hex(ipv4_number(quad))), 8, "0")
+    return F.when(quad == "", text).otherwise(F.concat(
+        F.regexp_replace(text, r"(?<=:)" + _OCTET + r"(\." + _OCTET + r"){3}\z", ""), F.substring(digits, 1, 4), F.lit(":"), F.substring(digits, 5, 4)))
+
+
+def ipv6_digits(text: Column) -> Column:
+    """The 32 hex digits of an IPv6 address without a zone, or null."""
+    def filled(flat: Column) -> Column:
+        def groups(side: Column) -> Column:
+            return F.filter(F.split(side, ":"), lambda g: g != "")
+
+        head, tail = groups(F.substring_index(flat, "::", 1)), groups(F.when(flat.contains("::"), F.substring_index(flat, "::", -1)).otherwise(""))
+        zeros = F.array_repeat(F.lit("0"), F.lit(8) - F.size(head) - F.size(tail))
+        return F.array_join(F.transform(F.concat(head, zeros, tail), lambda g: F.lpad(g, 4, "0")), "")
+
+    known = F.when(is_ipv6(text) & ~text.contains("%"), F.lower(text))
+    return F.when(known.isNotNull(), _bound(_quad_groups(known), filled))
+
+
+def ipv6_text(digits: Column) -> Column:
+    """Shortest text of 32 hex digits: no leading zeros, the first of the longest runs of zero groups as '::', IPv4-mapped ones with a quad."""
+    groups = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.regexp_replace(F.substr(digits, k * 4 + 1, F.lit(4)), r"\A0{1,3}", ""))
+
+    def shortened(long: Column) -> Column:
+        out = F.when(F.lit(False), long)
+        for run in range(8, 1, -1):
+            pattern = r"\A(?:(.*?):)??0(?::0){%d}(?::(.*))?\z" % (run - 1)
+            out = out.when(long.rlike(pattern), F.regexp_replace(long, pattern, "$1::$2"))
+        return out.otherwise(long)
 
-    return texts.map(canonical)
+    mapped = F.concat(F.lit("::ffff:"), ipv4_text(F.conv(F.substring(digits, 25, 8), 16, 10).cast("long")))
+    return F.when(digits.startswith("0" * 20 + "ffff"), mapped).when(digits.isNotNull(), _bound(F.array_join(groups, ":"), shortened))
 
 
-@F.pandas_udf(T.StringType())
-def _canonical_network(texts: pd.Series) -> pd.Series:
-    def canonical(text):
-        try:
-            return None if text is None else str(ipaddress.ip_network(text, strict=False))
-        except ValueError:
-            return None
+def ipv6_bounds(digits: Column, length: Column) -> tuple[Column, Column]:
+    """First and last address of a prefix, as hex digits, host bits cleared and set."""
+    whole, rest = F.floor(length / 4).cast("int"), (length % 4).cast("int")
+    nibble = F.conv(F.substr(digits, whole + 1, F.lit(1)), 16, 10).cast("int")
+    free = F.element_at(F.array(*map(F.lit, (15, 7, 3, 1))), rest + 1)
+    kept, last = F.substr(digits, F.lit(1), whole), F.lit(32) - whole - 1
+    full = whole == 32
+    low = F.when(full, digits).otherwise(F.concat(kept, F.lower(F.hex(nibble - nibble % (free + 1))), F.repeat(F.lit("0"), last)))
+    high = F.when(full, digits).otherwise(F.concat(kept, F.lower(F.hex(nibble - nibble % (free + 1) + free)), F.repeat(F.lit("f"), last)))
+    return low, high
 
-    return texts.map(canonical)
 
+_LENGTH6 = r"/0*(12[0-8]|1[01][0-9]|[1-9]?[0-9])\z"
 
-@F.pandas_udf(_RANGE)
-def _address_range(texts: pd.Series) -> pd.DataFrame:
-    def bounds(text):
-        if text is None:
-            return (None, None, None)
-        try:
-            net = ipaddress.ip_network(text, strict=False)
-        except ValueError:
-            return (None, None, None)
-        width = net.max_prefixlen // 4
-        return (net.version, f"{int(net[0]):0{width}x}", f"{int(net[-1]):0{width}x}")
 
-    rows = [bounds(t) for t in texts]
-    return pd.DataFrame(rows, columns=["family", "lo", "hi"]).astype({"family": "Int32"})
+def _ipv6_parts(text: Column) -> tuple[Column, Column]:
+    """(digits, prefix length) of an IPv6 address or prefix; a bare address has length 128."""
+    sized = F.coalesce(text.rlike(_LENGTH6), F.lit(False))
+    digits = ipv6_digits(F.when(sized, F.substring_index(text, "/", 1)).otherwise(text))
+    return digits, F.when(sized, F.substring_index(text, "/", -1).cast("int")).otherwise(F.lit(128))
 
 
 def canonical_ip(text: Column) -> Column:
-    """Canonical address or null. Only rows that are not dotted quads reach Python."""
+    """Canonical address or null; an IPv6 zone is kept as written."""
     trimmed = F.trim(text)
-    v4 = is_ipv4(trimmed)
-    return F.when(v4, trimmed).otherwise(_canonical_address(F.when(~v4 & trimmed.contains(":"), trimmed)))
+    zone = F.regexp_extract(trimmed, r"%[^%/]+\z", 0)
+    bare = F.when(zone != "", F.substring_index(trimmed, "%", 1)).otherwise(trimmed)
+    v6 = F.concat(_bound(ipv6_digits(F.when(trimmed.contains(":"), bare)), ipv6_text), zone)
+    return F.when(is_ipv4(trimmed), trimmed).otherwise(v6)
 
 
 def canonical_cidr(text: Column) -> Column:
+    """Canonical prefix with host bits cleared, or null; a bare address is a prefix of its full length."""
     trimmed = F.trim(text)
-    v4 = F.coalesce(trimmed.rlike(IPV4_CIDR_PATTERN), F.lit(False))
-    return F.when(v4, canonical_ipv4_cidr(trimmed)).otherwise(_canonical_network(F.when(~v4, trimmed)))
+    v4 = F.coalesce(canonical_ipv4_cidr(trimmed), F.when(is_ipv4(trimmed), F.concat(trimmed, F.lit("/32"))))
+    digits, length = _ipv6_parts(F.when(trimmed.contains(":"), trimmed))
+    low = ipv6_bounds(digits, length)[0]
+    return F.coalesce(v4, F.when(low.isNotNull(), F.concat(_bound(low, ipv6_text), F.lit("/"), length)))
 
 
 def _hex8(number: Column) -> Column:
     return F.lpad(F.lower(F.hex(number)), 8, "0")
 
 
-def with_address_range(df: DataFrame, value: str, out: str, ipv6: bool = False) -> DataFrame:
+def with_address_range(df: DataFrame, value: str, out: str) -> DataFrame:
     """Add struct ``out`` (family, lo, hi) with fixed-width hex bounds; null for non-addresses.
 
     Hex text of one family compares like the number it writes, so one string
@@ -112,16 +142,17 @@ def with_address_range(df: DataFrame, value: str, out: str, ipv6: bool = False)
     text = F.col(value)
     bare = is_ipv4(text)
     cidr = F.coalesce(text.rlike(IPV4_CIDR_PATTERN), F.lit(False))
+    digits, length = _ipv6_parts(F.when(text.contains(":"), text))
     df = df.withColumns({
         "_number": ipv4_number(F.when(bare | cidr, F.substring_index(text, "/", 1))),
         "_size": F.pow(F.lit(2.0), F.lit(32) - F.when(cidr, F.substring_index(text, "/", -1)).otherwise("32").cast("int")).cast("long"),
+        "_digits": digits, "_length": length,
     }).withColumn("_low", F.expr("_number - _number % _size"))
-    v4 = F.when(F.col("_low").isNotNull(), F.struct(
-        F.lit(4).alias("family"), _hex8(F.col("_low")).alias("lo"), _hex8(F.col("_low") + F.col("_size") - 1).alias("hi")))
-    if ipv6:
-        df = df.withColumn("_rest", _address_range(F.when(F.col("_low").isNull() & text.contains(":"), text)))
-        v4 = F.coalesce(v4, F.when(F.col("_rest.family").isNotNull(), F.col("_rest"))) if ipv6 else v4
-    return df.withColumn(out, v4).drop("_number", "_size", "_low", "_rest")
+    low6, high6 = ipv6_bounds(F.col("_digits"), F.col("_length"))
+    span = F.when(F.col("_low").isNotNull(), F.struct(
+        F.lit(4).alias("family"), _hex8(F.col("_low")).alias("lo"), _hex8(F.col("_low") + F.col("_size") - 1).alias("hi"))).when(
+        F.col("_digits").isNotNull(), F.struct(F.lit(6).alias("family"), low6.alias("lo"), high6.alias("hi")))
+    return df.withColumn(out, span).drop("_number", "_size", "_low", "_digits", "_length")
 
 
 def range_literal(prefix: str) -> Column:
@@ -156,7 +187,7 @@ def with_client_address(df: DataFrame, raw: str, out: str) -> DataFrame:
     df = df.withColumn("_text", F.trim(F.col(raw))).withColumn("_address", address)
     known = F.when(~F.col("_address").contains("%"), F.trim("_address"))
     df = df.withColumn("_address", known).withColumn("_v4", is_ipv4(F.col("_address")))
-    other = _canonical_address(F.when(~F.col("_v4") & F.col("_address").contains(":"), F.col("_address")))
+    other = canonical_ip(F.when(~F.col("_v4") & F.col("_address").contains(":"), F.col("_address")))
     return df.withColumn(out, F.when(F.col("_v4"), F.col("_address")).otherwise(other)).drop("_text", "_address", "_v4")
 
 

@@ -59,6 +59,11 @@ def _idna(names: pd.Series) -> pd.Series:
     return names.map(encode)
 
 
+def idna_name(name: Column) -> Column:
+    """ASCII form of a name, null where IDNA refuses it. ASCII names are taken as they are; others are encoded in Python."""
+    return F.when(name.rlike(r"\A[\x00-\x7f]*\z"), name).otherwise(_idna(F.when(~name.rlike(r"\A[\x00-\x7f]*\z"), name)))
+
+
 def canonical_fqdn(value: Column, idna: bool = False) -> Column:
     """Canonical name or null. ``idna`` sends only non-ASCII names to Python."""
     name = F.lower(strip_dots(F.trim(value)))

@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from threatloom.functions.digest import micros_of, scaled_draw, sha_hex
 from threatloom.functions.instants import recency
-from threatloom.functions.net import canonical_ipv4_cidr, subnet_of, with_address_range
-from threatloom.functions.text import domain_under, strip_dots, valid_client
+from threatloom.functions.net import canonical_cidr, canonical_ip, subnet_of, with_address_range
+from threatloom.functions.text import domain_under, idna_name, strip_dots, valid_client
 from threatloom.operators import evidence as ev
 from threatloom.plans.policy import Policy, policy_columns, tenant_columns, weights_frame
 
@@ -15,15 +15,18 @@ ADDRESS_TYPES = ("ipv4", "ipv6", "cidr")
 
 
 def canonical_key(value: Column) -> Column:
-    """Allowlist key: addresses as they are, /32 as the bare address, names lowered without trailing dots."""
+    """Allowlist key: addresses and prefixes in canonical form, a prefix of one address as that address, names in IDNA form in lower case.
+
+    A name that IDNA refuses stays as it is, in lower case.
+    """
     name = strip_dots(F.trim(value))
-    return F.when(name.contains("/"), F.coalesce(F.regexp_replace(canonical_ipv4_cidr(name), r"/32\z", ""), F.lower(name))) \
-        .otherwise(F.lower(name))
+    address = F.when(name.contains(":") | name.rlike(r"\A[0-9./]+\z"), F.coalesce(canonical_ip(name), F.regexp_replace(canonical_cidr(name), r"/32\z|(?<=:.{0,40})/128\z", "")))
+    return F.coalesce(address, F.lower(idna_name(F.lower(name))), F.lower(name))
 
 
-def with_target(df: DataFrame, ipv6: bool = False) -> DataFrame:
+def with_target(df: DataFrame) -> DataFrame:
     """Columns the gates read: ``_span`` (address range), ``_name`` (domain form), ``_key`` (allowlist form)."""
-    return with_address_range(df, "value", "_span", ipv6).withColumns({
+    return with_address_range(df, "value", "_span").withColumns({
         "_name": F.lower(strip_dots(F.col("value"))), "_key": canonical_key(F.col("value"))})
 
 
@@ -100,7 +103,7 @@ def score(bounded: DataFrame, facts: DataFrame, weights: DataFrame, max_age_hour
 
 
 def scored_indicators(indicators: DataFrame, evidence: DataFrame, sources: DataFrame, policy: Policy,
-                      p: dict[str, Column] | None = None, ipv6: bool = False) -> DataFrame:
+                      p: dict[str, Column] | None = None) -> DataFrame:
     """Indicators with maliciousness, safety scores and score reasons.
 
     ``p`` gives policy columns present on ``indicators`` (tenant policies);
@@ -108,7 +111,7 @@ def scored_indicators(indicators: DataFrame, evidence: DataFrame, sources: DataF
     """
     p = p or policy_columns(policy)
     cap = max(1, policy.max_evidence_per_indicator)
-    indicators = with_target(indicators, ipv6).withColumn("in_scope", in_scope(p))
+    indicators = with_target(indicators).withColumn("in_scope", in_scope(p))
     facts = indicators.select(
         "indicator_id", "in_scope", (F.col("value") != "").alias("exactness"),
         F.array_contains(p["governed_dedicated_use"], F.col("value")).alias("dedicated_use"),
@@ -294,7 +297,7 @@ def apply_ladder(scored: DataFrame, policy: Policy, p: dict[str, Column] | None
 
 
 def decide(indicators: DataFrame, evidence: DataFrame, sources: DataFrame, policy: Policy, overlays: DataFrame | None = None,
-           context: DataFrame | None = None, ipv6: bool = False) -> DataFrame:
+           context: DataFrame | None = None) -> DataFrame:
     """Decisions for all indicators.
 
     ``context`` (indicator_id, client, protocol_class) defaults to the vote of
@@ -307,7 +310,7 @@ def decide(indicators: DataFrame, evidence: DataFrame, sources: DataFrame, polic
         p = tenant_columns(policy)
     if context is None and {"client", "protocol_class"} <= set(evidence.columns):
         context = ev.observation_context(evidence)
-    scored = scored_indicators(indicators, evidence, sources, policy, p, ipv6)
+    scored = scored_indicators(indicators, evidence, sources, policy, p)
     if context is None:
         scored = scored.withColumns({"client": F.lit(None).cast("string"), "protocol_class": F.lit(None).cast("string")})
     else:
