@@ -50,10 +50,6 @@ def test_query_equals_sql(spark, duck, name):
     assert rows_of(frame.columns, [tuple(r) for r in frame.collect()]) == rows_of(columns, result.fetchall())
 
 
-def test_only_probing_has_no_sql():
-    assert set(QUERIES) - set(SQL) == {"rule_numbers"}
-
-
 def test_entry(spark):
     frame = entry.entry(spark)
     assert frame.count() > 0 and "decision_id" in frame.columns

@@ -169,15 +169,21 @@ def rule_base(decision_id: Column) -> Column:
 
 
 def rule_numbers(decisions: DataFrame, taken: DataFrame, chunk: int = 4096) -> DataFrame:
-    """Unique rule number per decision: the preferred one or the next free above it.
+    """Unique rule number per decision: its published one, else the preferred one or the next free above it.
 
-    Forward probing in preferred order equals a running maximum of
-    (preferred - row number). Numbers in ``taken`` (column ``rule_no``) stay
+    ``taken`` holds the numbers in use (column ``rule_no``), with ``decision_id`` where a decision owns its number: that decision
+    keeps it (the smallest, if several). Forward probing in preferred order equals a running maximum of
+    (preferred - row number). Taken numbers stay
     put: probing runs over ranks of free numbers and is mapped back. All
     running values are taken per chunk of the number range and carried over
-    one-row-per-chunk totals.
+    one-row-per-chunk totals. ``exhausted`` marks a number beyond the range, as probing never wraps around.
     """
     wanted = decisions.select("decision_id", rule_base(F.col("decision_id")).alias("base"))
+    kept = None
+    if "decision_id" in taken.columns:
+        owned = taken.where(F.col("decision_id").isNotNull()).groupBy("decision_id").agg(F.min("rule_no").alias("rule_no"))
+        kept = wanted.join(owned, "decision_id").select("decision_id", "base", F.col("rule_no").cast("long").alias("rule_no"))
+        wanted = wanted.join(owned, "decision_id", "left_anti")
     taken = taken.select("rule_no").distinct()
 
     # Rank of each preferred number among free ones: minus the taken numbers below it.
@@ -201,4 +207,5 @@ def rule_numbers(decisions: DataFrame, taken: DataFrame, chunk: int = 4096) -> D
     # Holes sort first among equal slots: a free rank equal to a hole's adjusted position lies above the hole.
     both = both.withColumn("_order", 1 - F.col("hole"))
     back = scan.running_sums(both, [], "slot", ["slot", "_order", "decision_id"], {"skipped": "hole"}, chunk)
-    return back.where("hole = 0").select("decision_id", F.col("at").alias("base"), (F.col("slot") + F.col("skipped")).alias("rule_no"))
+    probed = back.where("hole = 0").select("decision_id", F.col("at").alias("base"), (F.col("slot") + F.col("skipped")).alias("rule_no"))
+    return (probed if kept is None else probed.unionByName(kept)).withColumn("exhausted", F.col("rule_no") >= RULE_BASE + RULE_SPAN)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from threatloom.functions.instants import utc_literal
 from threatloom.queries import frames as f
 from threatloom.queries.decisions import POLICY, decided_sql, decisions
-from threatloom.queries.ledger import _ACTIONS, _DEC, actions, decision_rows
+from threatloom.queries.ledger import _ACTIONS, _DEC, actions, decision_rows, probed_sql
 from threatloom.queries.frames import SOURCES_SQL, table
 from threatloom.queries.registry import Registry
 from threatloom.session import cut_lineage
@@ -25,7 +25,7 @@ _RULES = f"""rl AS (SELECT decision_id, CASE WHEN itype = 'ipv4' THEN 'alert ip
   || '(msg:"response ' || disposition || ' ' || value || ' rung=' || rung || '"; ' || CASE WHEN itype = 'fqdn' THEN 'http.host; content:"' || value || '"; nocase; ' ELSE '' END
   || 'metadata:response_decision ' || decision_id || CASE WHEN action = 'rate_limit' THEN ', response_ceiling_per_min ' || rate_ceiling ELSE '' END
   || CASE WHEN itype = 'fqdn' THEN ', response_client ' || client ELSE '' END || ', response_ttl_seconds ' || greatest(1, ttl_seconds) || '; '
-  || CASE WHEN action = 'rate_limit' THEN 'detection_filter:track by_src, count ' || rate_ceiling || ', seconds 60; ' ELSE '' END || 'sid:N; rev:1;)' AS fragment
+  || CASE WHEN action = 'rate_limit' THEN 'detection_filter:track by_src, count ' || rate_ceiling || ', seconds 60; ' ELSE '' END AS head
   FROM decided WHERE {_EXPORTABLE} AND ((itype = 'ipv4' AND action IN ('firewall_deny', 'rate_limit')) OR (itype = 'fqdn' AND action = 'rate_limit' AND NOT contains(value, '*'))))"""
 
 
@@ -43,11 +43,11 @@ def zone_lines(spark, sf_dir):
     return artifacts.zone_fragments(_decided(spark, sf_dir), POLICY.authorized_domains).select("decision_id", "rule_id", "fragment", "fragment_hash")
 
 
-@query("ids_rule_lines", f"WITH {decided_sql()}, {_RULES} SELECT decision_id, fragment FROM rl")
+@query("ids_rule_lines", f"""WITH {decided_sql()}, {_RULES}, et AS (SELECT 9100000 + p_partkey * 3 AS rule_no, CAST(NULL AS VARCHAR) AS decision_id FROM part), {probed_sql("rl", "et")}
+SELECT decision_id, 'sid:' || rule_no AS rule_id, head || 'sid:' || rule_no || '; rev:1;)' AS fragment FROM rl JOIN probed USING (decision_id)""")
 def ids_rule_lines(spark, sf_dir):
-    """The rule number is masked: its probing has no SQL form and is tested by its properties."""
     rules = artifacts.rule_fragments(_decided(spark, sf_dir), _taken(spark, sf_dir))
-    return rules.select("decision_id", F.regexp_replace("fragment", r"sid:\d+", "sid:N").alias("fragment"))
+    return rules.select("decision_id", "rule_id", "fragment")
 
 
 @query("bundle_digests", f"""WITH {decided_sql()}, {_ZONE}, lv AS (SELECT fragment_hash[7:9] AS slot, count(*) AS n, sha256(string_agg(fragment_hash, chr(10) ORDER BY fragment_hash)) AS digest FROM zf GROUP BY 1)

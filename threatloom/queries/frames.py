@@ -9,13 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from threatloom.functions.instants import iso_of, iso_of_epoch
-from threatloom.session import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
-    """A table; with ``columns``, only those, spread over the cores for per-row work."""
+    """A table; with ``columns``, only those."""
     rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(rows.select(*columns)) if columns else rows
+    return rows.select(*columns) if columns else rows
 
 
 def _timed(df: DataFrame, ts: str) -> DataFrame:

@@ -240,11 +240,32 @@ def audit_chain(spark, sf_dir):
 
 # --- rule numbers ------------------------------------------------------------------------------
 
-@query("rule_numbers")
+def probed_sql(wanted: str, taken: str) -> str:
+    """CTEs up to ``probed(decision_id, base, rule_no, exhausted)`` from CTEs ``wanted(decision_id)`` and ``taken(rule_no, decision_id)``.
+
+    Probing in preferred order is a running maximum over ranks of free numbers; an as-of join maps ranks back to numbers.
+    """
+    return f"""pw AS (SELECT decision_id, {ledger.RULE_BASE} + CAST('0x' || sha256(decision_id)[1:8] AS BIGINT) % {ledger.RULE_SPAN} AS base FROM {wanted}),
+pk AS (SELECT decision_id, min(rule_no) AS rule_no FROM {taken} WHERE decision_id IS NOT NULL GROUP BY 1),
+ph AS (SELECT rule_no, row_number() OVER (ORDER BY rule_no) AS nth FROM (SELECT DISTINCT rule_no FROM {taken})),
+pf AS (SELECT w.decision_id, w.base, w.base - coalesce(ph.nth, 0) AS rank FROM (SELECT * FROM pw WHERE decision_id NOT IN (SELECT decision_id FROM pk)) w ASOF LEFT JOIN ph ON ph.rule_no < w.base),
+pn AS (SELECT *, row_number() OVER (ORDER BY rank, decision_id) AS rn FROM pf),
+ps AS (SELECT decision_id, base, rn + max(rank - rn) OVER (ORDER BY rn) AS slot FROM pn),
+pm AS (SELECT ps.decision_id, ps.base, ps.slot + coalesce(h.nth, 0) AS rule_no FROM ps ASOF LEFT JOIN (SELECT rule_no - nth + 1 AS slot, max(nth) AS nth FROM ph GROUP BY 1) h ON h.slot <= ps.slot
+  UNION ALL SELECT pw.decision_id, pw.base, pk.rule_no FROM pw JOIN pk USING (decision_id)),
+probed AS (SELECT *, rule_no >= {ledger.RULE_BASE + ledger.RULE_SPAN} AS exhausted FROM pm)"""
+
+
+@query("rule_numbers", f"""WITH rw AS (SELECT 'decision--' || sha256(CAST(o_orderkey AS VARCHAR))[1:24] AS decision_id FROM orders),
+rt AS (SELECT {ledger.RULE_BASE} + p_partkey * 450 AS rule_no, CASE WHEN p_partkey % 3 = 0 THEN 'decision--' || sha256(CAST(p_partkey AS VARCHAR))[1:24] END AS decision_id FROM part),
+{probed_sql("rw", "rt")} SELECT decision_id, base, rule_no, exhausted FROM probed""")
 def rule_numbers(spark, sf_dir):
-    """Checked by properties in the tests: forward probing has no closed SQL form."""
-    decisions = table(spark, sf_dir, "orders").select(F.concat(F.lit("decision--"), sha_hex(F.col("o_orderkey").cast("string"), 24)).alias("decision_id"))
-    taken = table(spark, sf_dir, "part").select((F.lit(ledger.RULE_BASE) + F.col("p_partkey") * 450).alias("rule_no"))
+    """A third of the installed rules have an owner that may be compiled again."""
+    def named(key):
+        return F.concat(F.lit("decision--"), sha_hex(F.col(key).cast("string"), 24))
+
+    decisions = table(spark, sf_dir, "orders").select(named("o_orderkey").alias("decision_id"))
+    taken = table(spark, sf_dir, "part").select((F.lit(ledger.RULE_BASE) + F.col("p_partkey") * 450).alias("rule_no"), F.when(F.col("p_partkey") % 3 == 0, named("p_partkey")).alias("decision_id"))
     return ledger.rule_numbers(decisions, taken)
 
 

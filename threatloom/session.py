@@ -74,12 +74,3 @@ def ship_package(spark: SparkSession) -> None:
     context.addPyFile(str(target))
     context._threatloom_shipped = True
 
-
-def spread(df: DataFrame) -> DataFrame:
-    """Give a small input enough partitions to use every core before per-row work.
-
-    Inputs with at least as many files as cores are returned as they are, so a
-    large table is never shuffled for this.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if len(df.inputFiles()) >= cores else df.repartition(cores)
