@@ -113,11 +113,12 @@ class Trie:
             contexts.append(context | tag)
             first_escape.append(np.log(d) - np.log(n + d))
             firsts.append(np.log(count) - np.repeat(np.log(n + d), d))
-        join = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.zeros(0, kind)
         self.orders = len(grams)
-        self.log_count, self.first = join(counts, np.float32), join(firsts, np.float32)
-        self.first_escape, self.low_total, self.low_escape = (join(x, np.float32) for x in (first_escape, low_total, low_escape))
-        self.gram_keys, self.context_keys = join(keys, np.uint64), join(contexts, np.uint64)
+        # A last entry of zero stands for "none", which has number -1.
+        none = [np.zeros(1)]
+        self.log_count, self.first, self.first_escape, self.low_total, self.low_escape = (
+            np.concatenate(x + none).astype(np.float32) for x in (counts, firsts, first_escape, low_total, low_escape))
+        self.gram_keys, self.context_keys = np.concatenate(keys), np.concatenate(contexts)
 
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k not in ("grams", "contexts")}
