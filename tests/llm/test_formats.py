@@ -46,7 +46,7 @@ def test_chunks_are_bounded_and_join_to_a_valid_archive(spark):
     while archive:
         head, _, rest = archive.partition(b"\r\n\r\n")
         assert head.startswith(b"WARC/1.1\r\n")
-        fields = dict(re.findall(r"^([\w-]+): (.*)\r?$", head.decode(), re.M))
+        fields = dict(re.findall(r"^([\w-]+): ([^\r\n]*)", head.decode(), re.M))
         n = int(fields["Content-Length"])
         block, archive = rest[:n], rest[n:]
         assert archive[:4] == b"\r\n\r\n" and "\r" not in fields["WARC-Target-URI"] and "X" not in fields
