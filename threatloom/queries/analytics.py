@@ -22,10 +22,10 @@ QUERIES, ORACLES = query.queries, query.oracles
 _T0 = 959_817_600  # 2000-06-01T00:00:00Z
 
 
-@query("scope_by_domain_list", f"WITH {INDICATORS_SQL}, dl AS (SELECT DISTINCT 'p' || p_partkey || '.invalid' AS domain FROM part WHERE p_partkey % 3 = 0 UNION SELECT 'example') "
+@query("scope_by_domain_list", f"WITH {INDICATORS_SQL}, dl AS (SELECT DISTINCT 'p' || (p_partkey * 3) || '.invalid' AS domain FROM part UNION SELECT 'example') "
        "SELECT indicator_id, EXISTS (SELECT 1 FROM dl WHERE ind.value = dl.domain OR ends_with(ind.value, '.' || dl.domain)) AS in_scope FROM ind WHERE itype = 'fqdn'")
 def scope_by_domain_list(spark, sf_dir):
-    domains = table(spark, sf_dir, "part").where("p_partkey % 3 = 0").selectExpr("concat('p', p_partkey, '.INVALID.') as domain").union(spark.sql("select 'example'"))
+    domains = table(spark, sf_dir, "part").selectExpr("concat('p', p_partkey * 3, '.INVALID.') as domain").union(spark.sql("select 'example'"))
     return an.scoped_names(f.indicators(spark, sf_dir).where("itype = 'fqdn'").select("indicator_id", "value"), domains).select("indicator_id", "in_scope")
 
 
@@ -73,9 +73,9 @@ def coverage_ledger(spark, sf_dir):
     return an.coverage_ledger(_segmented(spark, sf_dir), queries, 7200, 300_000)
 
 
-@query("allowlist_simulation", f"WITH {FLOWS_SQL} SELECT dst, count(*) AS flows, count(DISTINCT host) AS hosts, CAST(sum(out_bytes) AS BIGINT) AS denied_bytes FROM flows WHERE dst NOT IN (SELECT 'p' || (p_partkey % 50) FROM part WHERE p_partkey % 50 < 20) GROUP BY 1")
+@query("allowlist_simulation", f"WITH {FLOWS_SQL} SELECT dst, count(*) AS flows, count(DISTINCT host) AS hosts, CAST(sum(out_bytes) AS BIGINT) AS denied_bytes FROM flows WHERE dst NOT IN (SELECT 'p' || (p_size % 20) FROM part) GROUP BY 1")
 def allowlist_simulation(spark, sf_dir):
-    allowed = table(spark, sf_dir, "part").where("p_partkey % 50 < 20").selectExpr("concat('p', p_partkey % 50) as dst")
+    allowed = table(spark, sf_dir, "part").selectExpr("concat('p', p_size % 20) as dst")
     return an.allowlist_simulation(f.flows(spark, sf_dir), allowed, ["dst"])
 
 
@@ -157,11 +157,11 @@ def nxdomain_bursts(spark, sf_dir):
     return an.nxdomain_bursts(f.contacts(spark, sf_dir).withColumn("nxdomain", F.expr("event_id % 3 = 0")), "2 hours", "1 hour", 3)
 
 
-@query("young_domains", f"""WITH {CONTACTS_SQL}, r AS (SELECT 'k' || p_partkey || '.example' AS dst, 1704067200 + p_partkey * 20000 AS registered_s FROM part WHERE p_partkey < 100)
+@query("young_domains", f"""WITH {CONTACTS_SQL}, r AS (SELECT 'k' || p_partkey || '.example' AS dst, 1704067200 + p_partkey * 20000 AS registered_s FROM part)
 SELECT dst, (epoch_s - registered_s) // 86400 AS age_days, count(*) AS contacts, count(DISTINCT src) AS clients FROM contacts JOIN r USING (dst) WHERE epoch_s >= registered_s AND (epoch_s - registered_s) // 86400 <= 10 GROUP BY 1, 2""")
 def young_domains(spark, sf_dir):
     # ``div`` rounds toward zero: contacts less than a day before registration must not count as age 0.
-    regs = table(spark, sf_dir, "part").where("p_partkey < 100").selectExpr("concat('k', p_partkey, '.example') as dst", "1704067200 + p_partkey * 20000 as registered_s")
+    regs = table(spark, sf_dir, "part").selectExpr("concat('k', p_partkey, '.example') as dst", "1704067200 + p_partkey * 20000 as registered_s")
     return an.young_domains(f.contacts(spark, sf_dir), regs, 10)
 
 
@@ -184,10 +184,10 @@ def spans(spark, sf_dir):
 
 
 @query("outcome_feedback", f"""WITH {CONTACTS_SQL}, {_SPANS}, m AS (SELECT action_id, count(*) AS n FROM sp JOIN contacts ON dst = target AND epoch_s >= start_s AND (end_s IS NULL OR epoch_s < end_s) GROUP BY 1),
- r AS (SELECT 'a' || (o_custkey * 3) AS action_id, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY 1)
+ r AS (SELECT 'a' || (o_custkey * 3) AS action_id, count(*) AS n FROM orders GROUP BY 1)
 SELECT action_id, target, coalesce(m.n, 0) AS matches, coalesce(end_s <= 1705000000, false) AS expired, coalesce(r.n, 0) AS false_positive_reports FROM sp LEFT JOIN m USING (action_id) LEFT JOIN r USING (action_id)""")
 def outcome_feedback(spark, sf_dir):
-    reports = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").selectExpr("concat('a', o_custkey * 3) as action_id")
+    reports = table(spark, sf_dir, "orders").selectExpr("concat('a', o_custkey * 3) as action_id")
     return an.outcome_feedback(spans(spark, sf_dir), f.contacts(spark, sf_dir), reports, 1_705_000_000)
 
 
@@ -198,20 +198,20 @@ def shadow_matches(spark, sf_dir):
     return an.shadow_matches(spans(spark, sf_dir).withColumnRenamed("action_id", "decision_id"), f.contacts(spark, sf_dir), legit)
 
 
-@query("exposure_drift", "SELECT 'h' || l_suppkey AS host, 8000 + l_linenumber AS port, count(*) AS sightings, CAST(min(epoch(l_shipdate)) AS BIGINT) AS first_s FROM lineitem WHERE l_linenumber > 3 OR l_suppkey % 4 = 0 GROUP BY 1, 2")
+@query("exposure_drift", "SELECT 'h' || l_suppkey AS host, 8000 + l_linenumber AS port, count(*) AS sightings, CAST(min(epoch(l_shipdate)) AS BIGINT) AS first_s FROM lineitem WHERE l_linenumber > 3 OR (l_linenumber = 2 AND l_suppkey % 4 = 0) GROUP BY 1, 2")
 def exposure_drift(spark, sf_dir):
     listeners = table(spark, sf_dir, "lineitem").selectExpr("concat('h', l_suppkey) as host", "8000 + l_linenumber as port", "unix_seconds(cast(l_shipdate as timestamp)) as epoch_s")
-    known = table(spark, sf_dir, "supplier").where("s_suppkey % 4 <> 0").selectExpr("concat('h', s_suppkey) as host", "explode(array(8000, 8001, 8002, 8003)) as port")
+    known = table(spark, sf_dir, "supplier").selectExpr("concat('h', s_suppkey) as host", "explode(array(8000, 8001, if(s_suppkey % 4 = 0, 8000, 8002), 8003)) as port")
     return an.exposure_drift(listeners, known)
 
 
-@query("virtual_patch_coverage", """WITH x AS (SELECT DISTINCT s_suppkey AS asset_id, p_partkey AS advisory_id FROM supplier JOIN part ON s_nationkey = p_size WHERE p_partkey % 10 = 0),
- v AS (SELECT DISTINCT l_suppkey AS asset_id, l_partkey AS advisory_id FROM lineitem WHERE l_partkey % 10 = 0)
+@query("virtual_patch_coverage", """WITH x AS (SELECT DISTINCT s_suppkey AS asset_id, p_partkey AS advisory_id FROM supplier JOIN part ON s_nationkey = p_size),
+ v AS (SELECT DISTINCT l_suppkey AS asset_id, l_partkey AS advisory_id FROM lineitem)
 SELECT asset_id, advisory_id, CASE WHEN v.ok IS NULL THEN 'uncovered' WHEN x.ok IS NULL THEN 'orphaned' ELSE 'covered' END AS status FROM (SELECT *, true AS ok FROM x) x FULL JOIN (SELECT *, true AS ok FROM v) v USING (asset_id, advisory_id)""")
 def virtual_patch_coverage(spark, sf_dir):
     assets = table(spark, sf_dir, "supplier").selectExpr("s_suppkey as asset_id", "s_nationkey as product")
-    advisories = table(spark, sf_dir, "part").where("p_partkey % 10 = 0").selectExpr("p_partkey as advisory_id", "p_size as product")
-    patches = table(spark, sf_dir, "lineitem").where("l_partkey % 10 = 0").selectExpr("l_suppkey as asset_id", "l_partkey as advisory_id")
+    advisories = table(spark, sf_dir, "part").selectExpr("p_partkey as advisory_id", "p_size as product")
+    patches = table(spark, sf_dir, "lineitem").selectExpr("l_suppkey as asset_id", "l_partkey as advisory_id")
     return an.virtual_patch_coverage(assets, advisories, patches)
 
 

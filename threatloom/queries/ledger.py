@@ -271,12 +271,12 @@ def rule_numbers(spark, sf_dir):
 
 # --- attachment ----------------------------------------------------------------------------------
 
-_KNOWN = "kn AS (SELECT 'indicator--' || p_partkey AS indicator_id, 'fqdn' AS itype, 'k' || (p_partkey % 150) || '.example' AS value, p_partkey AS pos FROM part WHERE p_partkey % 150 % 2 = 0)"
+_KNOWN = "kn AS (SELECT 'indicator--' || p_partkey AS indicator_id, 'fqdn' AS itype, 'k' || (p_partkey % 75 * 2) || '.example' AS value, p_partkey AS pos FROM part)"
 
 
 def known_names(spark, sf_dir):
-    return table(spark, sf_dir, "part").where("p_partkey % 150 % 2 = 0").selectExpr(
-        "concat('indicator--', p_partkey) as indicator_id", "'fqdn' as itype", "concat('k', p_partkey % 150, '.example') as value", "p_partkey as pos")
+    return table(spark, sf_dir, "part").selectExpr(
+        "concat('indicator--', p_partkey) as indicator_id", "'fqdn' as itype", "concat('k', p_partkey % 75 * 2, '.example') as value", "p_partkey as pos")
 
 
 def _novel(spark, sf_dir):
