@@ -11,12 +11,29 @@ from threatloom.queries import frames as f
 from threatloom.queries.detection import ENTROPY_SQL
 from threatloom.queries.frames import EVIDENCE_SQL, table
 from threatloom.queries.registry import Registry
-from threatloom.sources import access_logs, eve, payloads, transactions
+from threatloom.sources import access_logs, contacts, eve, payloads, transactions
 
 query = Registry()
 QUERIES, ORACLES = query.queries, query.oracles
 
 
+# --- contacts -------------------------------------------------------------------------
+
+_CONTACT_LINE = """CASE event_id % 7 WHEN 0 THEN '  ' WHEN 1 THEN concat('{"src":', user_id, ',"dst":"d', k, '.example","ts_iso":"x","epoch_s":"', event_id, '"}')
+  WHEN 2 THEN concat('{"src":"u","dst":"d","ts_iso":"x","epoch_s":', event_id, '.75}') WHEN 3 THEN concat('{"src":"u","ts_iso":"x","epoch_s":', event_id, '}')
+  WHEN 4 THEN concat('{"src":"u","dst":"d","ts_iso":"x","epoch_s":"', event_id, '.5"}') WHEN 5 THEN concat('no object ', k)
+  ELSE concat('{"src":"u', user_id, '","dst":"d', k, '.example","ts_iso":"t', k, '","epoch_s":', event_id, '}') END"""
+
+
+@query("contact_records", """WITH c AS (SELECT event_id, event_id % 7 AS form, user_id, json_extract_string(props, '$.k') AS k FROM events)
+SELECT event_id, CASE form WHEN 1 THEN CAST(user_id AS VARCHAR) WHEN 5 THEN NULL WHEN 6 THEN 'u' || user_id ELSE 'u' END AS src,
+  CASE WHEN form IN (1, 6) THEN 'd' || k || '.example' WHEN form IN (2, 4) THEN 'd' END AS dst, CASE form WHEN 5 THEN NULL WHEN 6 THEN 't' || k ELSE 'x' END AS ts_iso,
+  CASE WHEN form IN (1, 2, 3, 6) THEN event_id END AS epoch_s, CASE form WHEN 3 THEN 'dst' WHEN 4 THEN 'epoch_s' WHEN 5 THEN 'src' END AS problem FROM c WHERE form > 0""")
+def contact_records(spark, sf_dir):
+    lines = table(spark, sf_dir, "events").selectExpr("event_id", "user_id", "get_json_object(props, '$.k') as k").selectExpr("event_id", f"{_CONTACT_LINE} as line")
+    return contacts.parse_contacts(lines)
+
+
 # --- IDS events ---------------------------------------------------------------------
 
 _STAMP = "date_format(cast(ts as timestamp), \"yyyy-MM-dd'T'HH:mm:ss.SSSSSS\")"
