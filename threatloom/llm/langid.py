@@ -18,6 +18,10 @@ HIDDEN, EMBED, ROUNDS, BATCH, RATE = 24, 12, 900, 192, 0.01
 #: Longest byte sequence of the network; longer words are cut.
 SPAN = 32
 EDGE = 256  # symbol before and after a word
+#: Words remembered in each of two generations.
+REMEMBERED = 400_000
+_LETTERS = bytes(c for c in range(128) if chr(c).isalpha())
+_AROUND = bytes(c for c in range(128) if not chr(c).isalpha())
 UNKNOWN = "und"
 
 
@@ -136,20 +140,91 @@ class ByteTagger:
                 self.w[k] -= rate * (first[k] / (1 - 0.9 ** (n + 1))) / (np.sqrt(second[k] / (1 - 0.999 ** (n + 1))) + 1e-8)
         return self
 
+    def _states(self, rows: np.ndarray, side: str, table: np.ndarray) -> np.ndarray:
+        """The states of ``_run`` for rows of one length, position first; ``table`` holds each symbol's input to the gates."""
+        n, steps = rows.shape
+        gate, new = self.w[f"gate_{side}"], self.w[f"new_{side}"]
+        state, states = np.zeros((n, HIDDEN), np.float32), np.empty((steps, n, HIDDEN), np.float32)
+        for t in range(steps) if side == "f" else range(steps - 1, -1, -1):
+            given = table[rows[:, t]]
+            gates = state @ gate
+            gates += given[:, : 2 * HIDDEN]
+            gates *= np.float32(0.5)
+            np.tanh(gates, out=gates)
+            gates += np.float32(1)
+            gates *= np.float32(0.5)
+            fresh = (gates[:, :HIDDEN] * state) @ new
+            fresh += given[:, 2 * HIDDEN:]
+            np.tanh(fresh, out=fresh)
+            state = fresh + gates[:, HIDDEN:] * (state - fresh)
+            states[t] = state
+        return states
+
     def evidence(self, words: list[bytes]) -> np.ndarray:
-        """Sum over each word's positions of the language log probabilities; one row a word."""
+        """Sum over each word's positions of the language log probabilities; one row a word. The same as ``log_probabilities`` gives, by length."""
         out = np.zeros((len(words), len(self.languages)))
-        order = sorted(range(len(words)), key=lambda k: len(words[k]))
-        for at in range(0, len(order), 2048):
-            part = order[at: at + 2048]
-            rows, lengths, owner = sequences([words[k] for k in part])
+        tables = {side: self.w["embed"] @ self.w[f"in_{side}"] + self.w[f"b_{side}"] for side in "fb"}
+        top, bottom = self.w["out"][:HIDDEN], self.w["out"][HIDDEN:]
+        by_length: dict[int, tuple[list[int], list[bytes]]] = {}
+        for k, word in enumerate(words):
+            for s in range(0, max(1, len(word)), SPAN):
+                part = word[s: s + SPAN]
+                owners, parts = by_length.setdefault(len(part), ([], []))
+                owners.append(k)
+                parts.append(part)
+        for length, (owners, parts) in by_length.items():
+            owner = np.array(owners)
+            rows = np.full((len(parts), length + 2), EDGE, np.int64)
+            rows[:, 1:-1] = np.frombuffer(b"".join(parts), np.uint8).reshape(len(parts), length)
             for s in range(0, len(rows), 4096):
-                own = self.log_probabilities(rows[s: s + 4096], lengths[s: s + 4096])
-                inside = np.arange(rows.shape[1])[None, :] < lengths[s: s + 4096, None]
-                np.add.at(out, np.array(part)[owner[s: s + 4096]], (own * inside[..., None]).sum(axis=1))
+                own = rows[s: s + 4096]
+                logits = self._states(own, "f", tables["f"]) @ top + self._states(own, "b", tables["b"]) @ bottom + self.w["bias"]
+                flat = np.ascontiguousarray(logits.transpose(2, 0, 1))  # language, position, row
+                flat -= flat.max(axis=0)
+                flat -= np.log(np.exp(flat).sum(axis=0))
+                sums = flat.sum(axis=1).T
+                if length < SPAN:
+                    out[owner[s: s + 4096]] += sums
+                else:
+                    np.add.at(out, owner[s: s + 4096], sums)
         return out
 
 
+def cores(text: bytes) -> list[bytes]:
+    """Words between ASCII white space in lower case, without the ASCII marks and digits around them; those with nothing left are gone."""
+    return [c for w in text.lower().split() if (c := w.strip(_AROUND))]
+
+
+class _Known:
+    """Positions and language shares of words, in two generations, so that words in use stay known; one per Python worker and model."""
+
+    def __init__(self, tagger: ByteTagger):
+        self.tagger, self.young, self.old = tagger, ({}, None), ({}, None)
+
+    def learn(self, words: set[bytes]) -> tuple[dict[bytes, int], np.ndarray]:
+        """Numbers and values (share of each language times positions) of at least ``words``."""
+        number, values = self.young
+        if len(number) + len(words) > REMEMBERED:
+            self.old, (number, values) = self.young, ({}, None)
+        new = list(words - number.keys())
+        if new:
+            before = self.old[0]
+            again = [w for w in new if w in before]
+            other = [w for w in new if w not in before]
+            sums = self.tagger.evidence(other)
+            share = np.exp(sums - sums.max(axis=1, keepdims=True)) if len(sums) else sums
+            fresh = share / share.sum(axis=1, keepdims=True) * np.array([len(w) for w in other], float)[:, None] if len(sums) else share
+            parts = [values] if values is not None else []
+            parts += [self.old[1][[before[w] for w in again]]] if again else []
+            number.update(zip(again + other, range(len(number), len(number) + len(new))))
+            values = np.concatenate([*parts, fresh])
+        self.young = number, values
+        return self.young
+
+
+_WORKER: dict[bytes, _Known] = {}
+
+
 def _train_rows(docs: DataFrame) -> DataFrame:
     """A bounded sample: of each learned language, the TRAIN_DOCS documents that come first by a hash of their id."""
     labelled = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out()).select("doc_id", "lang", text_bytes())
@@ -185,7 +260,7 @@ def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([t.split() for t in batch.column(1).to_pylist()], pa.list_(pa.binary()))], ["lang", "words"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([cores(t) for t in batch.column(1).to_pylist()], pa.list_(pa.binary()))], ["lang", "words"])
 
 
 def fit(docs: DataFrame) -> ByteTagger | None:
@@ -203,15 +278,21 @@ def fit(docs: DataFrame) -> ByteTagger | None:
 def predicted(docs: DataFrame, model: ByteTagger | None) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of every row of ``docs``, from the whole text alone.
 
-    The network reads each word between ASCII white space with an edge before and after and labels every byte; a word's labels
-    depend on nothing else, so those of a word met before are remembered. A document's probability of a language is the
-    mean of the words' own, a word weighing as many positions as it has. A null text or one without letters is ``und`` with score zero,
-    as is everything where nothing was learned.
+    The network reads each word between ASCII white space (in lower case, without the marks and digits around it) with an edge before
+    and after and labels every byte; a word's labels depend on nothing else, so those of a word met before are remembered. A
+    document's probability of a language is the mean of the words' own, a word weighing as many positions as it has. A null text or
+    one without letters is ``und`` with score zero, as is everything where nothing was learned.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tagger, number, values = shared.value, {}, np.zeros((0, 0))
+        tagger, known = shared.value, None
+        if tagger:
+            name = tagger.w["out"].tobytes()
+            if name not in _WORKER:
+                _WORKER.clear()
+                _WORKER[name] = _Known(tagger)
+            known = _WORKER[name]
         for batch in batches:
             names, scores = [], []
             texts = [t or b"" for t in batch.column(0).to_pylist()]
@@ -221,21 +302,10 @@ def predicted(docs: DataFrame, model: ByteTagger | None) -> DataFrame:
                 while end < len(texts) and (size < 4 << 20 or end == at):
                     size += len(texts[end])
                     end += 1
-                split = [t.split() for t in texts[at:end]]
-                if tagger:
-                    if len(number) > 400_000:
-                        number, values = {}, np.zeros((0, 0))
-                    new = [w for w in dict.fromkeys(w for own in split for w in own) if w not in number]
-                    if new:
-                        number.update(zip(new, range(len(number), len(number) + len(new))))
-                        lengths = np.array([len(w) + 2 for w in new], float)
-                        sums = tagger.evidence(new)
-                        best = sums - sums.max(axis=1, keepdims=True)
-                        share = np.exp(best)
-                        fresh = share / share.sum(axis=1, keepdims=True) * lengths[:, None]
-                        values = np.concatenate([values, fresh]) if len(values) else fresh
+                split = [cores(t) for t in texts[at:end]]
+                number, values = known.learn(set().union(*split)) if known else ({}, None)
                 for text, own in zip(texts[at:end], split):
-                    if tagger and own and any(map(str.isalpha, text.decode("utf-8", "replace"))):
+                    if known and own and _has_letter(text):
                         pooled = values[[number[w] for w in own]].sum(axis=0)
                         best = int(pooled.argmax())
                         names.append(tagger.languages[best])
@@ -249,5 +319,10 @@ def predicted(docs: DataFrame, model: ByteTagger | None) -> DataFrame:
     return map_arrow(docs.select(text_bytes(), "doc_id", held_out().alias("held_out")), rows, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
+def _has_letter(text: bytes) -> bool:
+    """Whether any character is a letter; an ASCII one is found without decoding."""
+    return len(text) != len(text.translate(None, _LETTERS)) or any(map(str.isalpha, text.decode("utf-8", "replace")))
+
+
 def identified(docs: DataFrame) -> DataFrame:
     return predicted(docs, fit(docs))
