@@ -193,7 +193,8 @@ def fit(docs: DataFrame) -> tuple[LabelModel | None, tuple[np.ndarray, float, fl
     labels = expectation_maximisation(patterns, np.array([r["n"] for r in found], float))
     posterior = docs.sparkSession.createDataFrame(list(zip(patterns.tolist(), labels.posterior(patterns).tolist())), "pattern long, label double")
     sample = voted.select("doc_id", "pattern").orderBy(F.xxhash64("doc_id"), "doc_id", "pattern").limit(TRAIN_DOCS).join(posterior, "pattern").groupBy("doc_id").agg(F.min("label").alias("label"))
-    texts = docs.select("doc_id", text_bytes()).join(sample, "doc_id").orderBy(F.xxhash64("doc_id"), "text").select("text", "label")
+    # At most TRAIN_DOCS rows of 16 bytes.
+    texts = docs.select("doc_id", text_bytes()).join(F.broadcast(sample), "doc_id").orderBy(F.xxhash64("doc_id"), "text").select("text", "label")
     prior = float(np.log(labels.share_high / (1 - labels.share_high)))
     model = map_arrow(texts.coalesce(1), _train, "model binary").collect()
     if not model:
