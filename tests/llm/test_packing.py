@@ -43,7 +43,7 @@ def check(texts, rows, tokenizer):
     return padding
 
 
-ODD = [None, "", " \n\t", "Hello, World!", "ÄÖ straße ΣΟΦΟΣ ΣΟΦΟΣ. ΑΣ, İstanbul", "<|endoftext|> x<|startoftext|>.", "don't I'LL we've' 'tis it's.", "a b c été, x́.", "日本語テキスト、漢字。",
+ODD = [None, "", " \n\t", "Hello, World!", "ÄÖ straße ΣΟΦΟΣ ΣΟΦΟΣ. ΑΣ, İstanbul", "<|endoftext|> x<|startoftext|>.", "A <|ENDOFTEXT|> B", "ÀB́ ΑΣ ÉÀ Ab́C", "don't I'LL we've' 'tis it's.", "a b c été, x́.", "日本語テキスト、漢字。",
        "12 3.14 1,000 x1! ...?!", "\x1c\x1d\x85 a\x1cb\x85c", "ﬁn ǅ ª º ² ½ Ⅷ", "🙂🙂! a🙂, ‼ “quoted”,", "“a”. …, —;", "x" * 9000, "ab " * 30000]
 
 
