@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from threatloom.llm.common import fresh, map_arrow, text_bytes, words_of, written
 from threatloom.llm.components import connected_components
+from threatloom.session import cut_lineage
 
 SEED = 42
 #: Fingerprints compared at once on the side that streams past the homes of an anchor.
@@ -268,7 +269,7 @@ def near_duplicates(docs: DataFrame, width: int = 4, layout: Layout = EXACT_4_OF
     prints = written(fingerprints(docs, width, layout.bits), "simhash")
     distinct = prints.groupBy("fp", "fp_high").agg(F.min("doc_id").alias("least"))
     links = near_links(distinct, layout).select(node("a", "a_high").alias("a"), node("b", "b_high").alias("b"))
-    roots = connected_components(links)
+    roots = connected_components(cut_lineage(links))
     placed = distinct.withColumn("node", node("fp", "fp_high")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = placed.join(named, "root").select("fp", "fp_high", "component_id")
