@@ -18,7 +18,7 @@ ORDER = 5
 START, END = 0xFE, 0xFF
 #: Most entries (context and symbol) of the trie, and most words, that are broadcast. Rarer entries of the trie are left to
 #: the escape; rarer words are looked up in a join.
-TRIE_ENTRIES, HEAD_WORDS = 4_000_000, 300_000
+TRIE_ENTRIES, HEAD_WORDS = 2_500_000, 300_000
 #: Positions handled at once.
 CHUNK = 1 << 20
 
