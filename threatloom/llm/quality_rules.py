@@ -19,6 +19,8 @@ LEAST_GROUP = 200
 #: Names of the transformed statistics, and the spread below which a difference means nothing.
 AXES = {"word_length": 0.35, "symbols": 0.1, "dup_lines": 0.2, "repeats": 0.2, "capitals": 0.1, "marks": 0.1}
 STEPS = 4
+#: Most groups whose estimates, some 200 bytes each, are broadcast; more are joined by shuffle.
+FEW_GROUPS = 20_000
 #: Chance that a normal vector lies beyond the cut. The transformed statistics have longer tails than that.
 TAIL = 1e-4
 
@@ -126,11 +128,16 @@ def _measured(joined: DataFrame) -> DataFrame:
     return joined.withColumn("d2", sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(len(AXES))), F.lit(0.0)))
 
 
-def _distances(rows: DataFrame, estimate: DataFrame) -> DataFrame:
-    return _measured(rows.join(estimate, "grp")).select(*rows.columns, "d2")
+def _by_group(rows: DataFrame, groups: DataFrame, small: bool, how: str = "inner") -> DataFrame:
+    """``rows`` with the row of their group. A table of few groups travels to the rows, so a large group is not gathered."""
+    return rows.join(F.broadcast(groups) if small else groups, "grp", how)
 
 
-def _nearest(rows: DataFrame) -> DataFrame:
+def _distances(rows: DataFrame, estimate: DataFrame, small: bool) -> DataFrame:
+    return _measured(_by_group(rows, estimate, small)).select(*rows.columns, "d2")
+
+
+def _nearest(rows: DataFrame, small: bool) -> DataFrame:
     """The rows of each group up to the distance that at least KEPT_SHARE of it reaches; distances are counted in narrow logarithmic bins."""
     binned = rows.withColumn("bin", F.floor(F.log(F.col("d2") + 1e-6) * 32))
     counts = binned.groupBy("grp", "bin").agg(F.count("*").alias("n"))
@@ -138,7 +145,7 @@ def _nearest(rows: DataFrame) -> DataFrame:
     reached = counts.select("grp", "bin", (F.coalesce(F.sum("n").over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("before"), F.sum("n").over(
         Window.partitionBy("grp")).alias("all")).where(F.col("before") < KEPT_SHARE * F.col("all"))
     last = reached.groupBy("grp").agg(F.max("bin").alias("last"))
-    return binned.join(last, "grp").where("bin <= last")
+    return _by_group(binned, last, small).where("bin <= last")
 
 
 def judged(docs: DataFrame) -> DataFrame:
@@ -153,8 +160,10 @@ def judged(docs: DataFrame) -> DataFrame:
     stats = written(_keys(text_statistics(docs)), "quality").withColumn("base_failed", base_failed())
     passed = _transformed(stats.where("not base_failed")).select("by_lang", "by_both", *AXES)
     groups = cut_lineage(_groups(passed))
-    estimate = fit(passed.join(groups, "by_both").select("grp", *AXES))
-    scored = _measured(_transformed(stats).join(groups, "by_both", "left").join(estimate, "grp", "left"))
+    small = groups.count() <= FEW_GROUPS
+    named = F.broadcast(groups) if small else groups
+    estimate = fit(written(passed.join(named, "by_both").select("grp", *AXES), "quality_vectors"))
+    scored = _measured(_by_group(_transformed(stats).join(named, "by_both", "left"), estimate, small, "left"))
     cut = chi_square_tail_point(TAIL, len(AXES))
     return scored.select(*(c for c in stats.columns if not c.startswith("by_")), "grp", "d2").withColumn(
         "kept", ~F.col("base_failed") & F.coalesce(F.col("d2") <= cut, F.lit(True)))
@@ -163,8 +172,9 @@ def judged(docs: DataFrame) -> DataFrame:
 def fit(rows: DataFrame) -> DataFrame:
     """Means and roots by group, from rows with ``grp`` and the axes."""
     degrees = len(AXES)
-    sizes = rows.groupBy("grp").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_GROUP).select("grp")
-    rows = rows.join(sizes, "grp")
+    sizes = cut_lineage(rows.groupBy("grp").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST_GROUP).select("grp"))
+    small = sizes.count() <= FEW_GROUPS
+    rows = _by_group(rows, sizes, small)
     quarters = rows.groupBy("grp").agg(*(F.percentile_approx(a, [0.25, 0.5, 0.75], 1000).alias(f"q{i}") for i, a in enumerate(AXES)))
     start = [F.col(f"q{i}")[1].alias(f"m{i}") for i in range(degrees)]
     for i, least in enumerate(AXES.values()):
@@ -172,9 +182,9 @@ def fit(rows: DataFrame) -> DataFrame:
     estimate = cut_lineage(quarters.select("grp", *start))
     inside = chi_square_tail_point(1 - KEPT_SHARE, degrees)
     for _ in range(STEPS):
-        estimate = _estimate(_nearest(_distances(rows, estimate)), KEPT_SHARE / chi_square_cdf(inside, degrees + 2))
+        estimate = _estimate(_nearest(_distances(rows, estimate, small), small), KEPT_SHARE / chi_square_cdf(inside, degrees + 2))
     usual = chi_square_tail_point(0.025, degrees)
-    return _estimate(_distances(rows, estimate).where(F.col("d2") <= usual), 0.975 / chi_square_cdf(usual, degrees + 2))
+    return _estimate(_distances(rows, estimate, small).where(F.col("d2") <= usual), 0.975 / chi_square_cdf(usual, degrees + 2))
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
