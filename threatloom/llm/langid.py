@@ -11,9 +11,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from threatloom.llm.common import map_arrow, text_bytes
+from threatloom.session import cut_lineage
 
 #: Documents per language that the network learns from, and distinct words of them: bounded samples.
 TRAIN_DOCS, TRAIN_WORDS = 300, 6_000
+#: Most ids of sampled documents that are broadcast to find their texts; more (over 300 languages) are joined by shuffle.
+FEW_CHOSEN = 100_000
 HIDDEN, EMBED, ROUNDS, BATCH, RATE = 24, 12, 900, 192, 0.01
 #: Longest byte sequence of the network; longer words are cut.
 SPAN = 32
@@ -230,7 +233,8 @@ def _train_rows(docs: DataFrame) -> DataFrame:
     labelled = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out()).select("doc_id", "lang", text_bytes())
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = labelled.select("doc_id", "lang", F.row_number().over(order).alias("nth")).where(F.col("nth") <= TRAIN_DOCS).select("doc_id", "lang")
-    return labelled.join(chosen, ["doc_id", "lang"])
+    chosen = cut_lineage(chosen)
+    return labelled.join(F.broadcast(chosen) if chosen.count() <= FEW_CHOSEN else chosen, ["doc_id", "lang"])
 
 
 def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
