@@ -69,7 +69,7 @@ def with_provenance(evidence: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def family_of_kind(kind: Column) -> Column:
-    family = F.when(kind.startswith("behavioral_"), F.substring(kind, len("behavioral_") + 1, 128))
+    family = F.when(kind.startswith("behavioral_"), F.substring(kind, len("behavioral_") + 1, 1 << 30))
     return F.when(family != "", family)
 
 

@@ -97,6 +97,7 @@ def replay_summary(changes: DataFrame) -> DataFrame:
     return changes.groupBy("change_kind").agg(F.count("*").alias("indicators"), F.count_distinct("tenant_id").alias("tenants"))
 
 
+# The reasons below are part of the output contract.
 def presence_reason(mode: Column, p: dict[str, Column]) -> Column:
     """Why the current policy no longer justifies an installed control; null when it does. Needs ``with_target``."""
     value = F.col("value")

@@ -1,4 +1,8 @@
-"""Indicators and evidence to decisions: score, gates, ladder, draws."""
+"""Indicators and evidence to decisions: score, gates, ladder, draws.
+
+Fixed values: reason codes (``provenance_violation:`` and the like), dispositions and explanation texts are part of the output contract
+and are written out where they arise.
+"""
 
 from __future__ import annotations
 

@@ -19,7 +19,6 @@ MAX_INDICATORS = 100_000
 MAX_EVIDENCE = 1_024
 MAX_SOURCES = 64
 MAX_TAGS = 64
-MAX_KIND = 128
 MAX_BYTES = 512 * 1024 * 1024
 TYPES = ("fqdn", "ipv4", "ipv6", "cidr", "url")
 
