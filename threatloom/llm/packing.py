@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import bisect
 import heapq
 import json
+import os
+import unicodedata
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -23,32 +24,84 @@ BUCKET = 20_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
-@cache
-def _tokenizer(file: str):
-    from tokenizers import Tokenizer
+#: Words remembered in each of two generations.
+REMEMBERED = 700_000
+#: Bytes of text split at once.
+SPLIT_AT = 4 << 20
 
-    return Tokenizer.from_file(SparkFiles.get(file))
+_ASCII_MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
-class _WordIds(dict):
-    """Little-endian ids of a word between white space, remembered; forgotten all at once before it grows large.
+class _WordIds:
+    """Little-endian ids of words between white space, remembered across tasks of a Python worker.
 
-    White space always ends a token of this tokenizer and is dropped by it, so a text's ids are those of its words in a row.
+    White space always ends a token of this tokenizer and is dropped by it, so a text's ids are those of its words in a row. So are a
+    word's those of its start up to its last letter and of the ASCII marks after that. ASCII capitals change nothing, but in a text where
+    they could spell a special token. Only starts not met before go to the tokenizer. When the young generation is full it becomes the old one, so words in use stay.
     """
 
     def __init__(self, file: str):
-        super().__init__()
-        self.file = file
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(SparkFiles.get(file))
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def learn(self, words: set[bytes]) -> None:
+        """Afterwards every one of ``words`` is young."""
+        if len(self.young) + len(words) > REMEMBERED:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        parts: dict[bytes, tuple[bytes, ...]] = {}
+        for word in words - young.keys():
+            if (known := old.get(word)) is not None:
+                young[word] = known
+                continue
+            start = word.rstrip(_ASCII_MARKS)
+            # Some letters become a letter and a mark in the tokenizer's normal form.
+            last = unicodedata.normalize("NFC", start.decode("utf-8", "replace")[-1:]).lower()[-1:]
+            whole = start == word or b"<|" in word or not last.isalpha()
+            parts[word] = (word,) if whole else (start, word[len(start):])
+        new = [w for w in {p for own in parts.values() for p in own} if w not in young and w not in old]
+        for at in range(0, len(new), 8192):
+            chunk = new[at: at + 8192]
+            for word, code in zip(chunk, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in chunk], add_special_tokens=False)):
+                young[word] = np.array(code.ids, "<u4").tobytes()
+        for word, own in parts.items():
+            young[word] = b"".join([young.get(p) if p in young else old[p] for p in own])
+
+    def ids(self, texts: list[bytes]) -> Iterator[bytes]:
+        at = 0
+        while at < len(texts):
+            size, split = 0, []
+            while at < len(texts) and (size < SPLIT_AT or not split):
+                text = texts[at]
+                split.append((text if b"<|" in text else text.lower()).split())
+                size += len(texts[at])
+                at += 1
+            self.learn(set().union(*split))
+            young = self.young
+            for words in split:
+                yield b"".join([young[w] for w in words])
+
+
+class _WholeIds:
+    """The same for a tokenizer that keeps white space: each text goes to it whole."""
+
+    def __init__(self, file: str):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(SparkFiles.get(file))
 
-    def learn(self, words: list[str]) -> None:
-        new = [w for w in set(words) if w not in self]
-        if len(self) + len(new) > 600_000:
-            self.clear()
-            new = list(set(words))
-        for at in range(0, len(new), 4096):
-            part = new[at: at + 4096]
-            for word, code in zip(part, _tokenizer(self.file).encode_batch_fast(part, add_special_tokens=False)):
-                self[word] = np.array(code.ids, "<u4").tobytes()
+    def ids(self, texts: list[bytes]) -> Iterator[bytes]:
+        for text in texts:
+            yield np.array(self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
+
+
+@cache
+def _coder(file: str, whole: bool) -> _WordIds | _WholeIds:
+    return (_WholeIds if whole else _WordIds)(file)
 
 
 def splits_at_spaces(path: str) -> bool:
@@ -69,20 +122,11 @@ def pieces(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE) -> DataFra
     file, whole = tokenizer.rsplit("/", 1)[-1], not splits_at_spaces(tokenizer)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _WordIds(file)
+        coder = _coder(file, whole)
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             out: list[tuple] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if whole:
-                    ids = np.array(_tokenizer(file).encode(text or "", add_special_tokens=False).ids, "<u4").tobytes()
-                else:
-                    words = text.split() if text else []
-                    try:
-                        ids = b"".join([known[w] for w in words])
-                    except KeyError:
-                        known.learn(words)
-                        ids = b"".join([known[w] for w in words])
+            for doc_id, ids in zip(batch.column(0).to_pylist(), coder.ids([t or b"" for t in batch.column(1).to_pylist()])):
                 ids += end
                 total = len(ids) // 4
                 for start in range(0, total, sequence):
@@ -91,7 +135,7 @@ def pieces(docs: DataFrame, tokenizer: str, sequence: int = SEQUENCE) -> DataFra
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], [f.split()[0] for f in PIECES.split(", ")])
 
-    return map_arrow(docs.select("doc_id", "text"), rows, PIECES)
+    return map_arrow(docs.select("doc_id", text_bytes()), rows, PIECES)
 
 
 def shortest_pack_first(counts: dict[int, int], sequence: int = SEQUENCE) -> dict[tuple[int, ...], int]:
