@@ -95,6 +95,34 @@ def test_similar_layout_finds_similar_texts(make_docs):
     assert kept == {2 * k for k in range(30)}
 
 
+def test_kept_documents_have_no_partner_at_the_similarity(make_docs):
+    """Pairs on both sides of 0.8, some with few differing bits, and a family: groups follow the exact shingle sets."""
+    texts, draw = {}, random.Random(4)
+    for k in range(40):  # one changed run of e words in 200 costs e + 4 of 196 shingles
+        words = prose(900 + k, 200)
+        at, e = draw.randrange(20, 60), [6, 12, 26, 30, 40, 60][k % 6]
+        texts[2 * k] = " ".join(words)
+        texts[2 * k + 1] = " ".join(words[:at] + prose(1900 + k, e) + words[at + e:])
+    for k in range(60):
+        words = prose(77, 300)
+        words[5 * k] = f"edit{k}"
+        texts[200 + k] = " ".join(words)
+    texts |= {400: "a b c d e f g", 401: "a b c d e f h", 402: "x y " * 300 + "q r s t u v", 403: "x y " * 300 + "m n o p k l"}
+
+    def shingles(text):
+        words = text.split()
+        return {" ".join(words[i: i + 5]) for i in range(len(words) - 4)}
+
+    sets, root = {i: shingles(t) for i, t in texts.items()}, {i: i for i in texts}
+    for i in sorted(sets):
+        for j in sorted(sets):
+            if i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                low, high = sorted((root[i], root[j]))
+                root = {k: low if r == high else r for k, r in root.items()}
+    found = {r.doc_id: r.component_id for r in simhash.similar_groups(make_docs(list(texts.items()))).collect()}
+    assert found == root
+
+
 def test_components_of_stars_chains_and_loops(spark):
     edges = [(1, k) for k in range(2, 300)] + [(k, k + 1) for k in range(1000, 1100)] + [(5000, 5000), (299, 2000), (2000, 1100)]
     found = dict(connected_components(spark.createDataFrame(edges, "a long, b long")).collect())

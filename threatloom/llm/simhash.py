@@ -49,19 +49,22 @@ class Layout:
 EXACT_4_OF_64 = Layout(64, 4, (Segment(tuple(range(31)), (), 2), Segment(tuple(range(31, 62)), (62, 63), 1)))
 
 
-def sampled_layout(bits: int, distance: int, segments: int, raw: int, seed: int = 7) -> Layout:
+def sampled_layout(bits: int, distance: int, segments: int, raw: int, seed: int = 7, allowed: int = 1) -> Layout:
     """Segments of 15 + ``raw`` bits drawn at random, for distances that no exact split reaches.
 
-    A pair whose bits differ with probability p meets in a segment with ((1-p)^15 + 15 p (1-p)^14) (1-p)^raw.
+    With ``allowed`` 1 (8 rows a segment) a pair whose bits differ with probability p meets in a segment with
+    ((1-p)^15 + 15 p (1-p)^14) (1-p)^raw; with 0 (1 row, both have the same home) with
+    ((1-p)^15 + 15/8 p (1-p)^14 + 105/8 p^2 (1-p)^13) (1-p)^raw, which is more for the same number of rows.
     """
     draw = np.random.default_rng(seed)
     picks = [tuple(draw.permutation(bits)[: 15 + raw].tolist()) for _ in range(segments)]
-    return Layout(bits, distance, tuple(Segment(p[:15], p[15:], 1, raw_errors=False) for p in picks))
+    return Layout(bits, distance, tuple(Segment(p[:15], p[15:], allowed, raw_errors=False) for p in picks))
 
 
-#: A Jaccard similarity of 0.8 is a cosine of 0.89, so 15 % of the bits differ on average. 24 segments of 20 bits meet such
-#: a pair with 97.5 %, one of similarity 0.87 with 99.9 %; unrelated texts reach 24 of 128 bits with 1e-12.
-SIMILAR_08 = sampled_layout(128, 24, 24, 5)
+#: Least Jaccard similarity of the shingle sets of a link in ``keep_one``.
+SIMILARITY = 0.8
+#: Proposes pairs of that similarity: 15 % of their bits differ on average, 32 of 128 is three deviations more.
+SIMILAR_08 = sampled_layout(128, 32, 128, 5, allowed=0)
 
 
 def shingle_hashes(words: list[bytes], width: int, bits: int) -> np.ndarray:
@@ -82,28 +85,31 @@ def shingle_hashes(words: list[bytes], width: int, bits: int) -> np.ndarray:
     return np.frombuffer(b"".join([digest(joined[s:e], SEED) for s, e in spans]), np.uint8).reshape(-1, 16)
 
 
-def fingerprint(text: bytes | None, width: int, bits: int = 64) -> bytes:
-    """Little-endian fingerprint; a bit is set if it is set in over half the hashes. No words: zero."""
+def fingerprint(text: bytes | None, width: int, bits: int = 64, once: bool = False) -> bytes:
+    """Little-endian fingerprint; a bit is set if it is set in over half the hashes, repeats dropped if ``once``. No words: zero."""
     words = words_of(text)
     if not words:
         return bytes(bits // 8)
     hashes = shingle_hashes(words, width, bits)
+    if once:
+        hashes = hashes[np.unique(hashes.view("<u8")[:, 0], return_index=True)[1]]
     size = bits // 8
     slots = (hashes + (np.arange(size) * 256).astype(np.uint16)).ravel()
     ones = np.bincount(slots, minlength=256 * size).reshape(size, 256) @ _BITS
     return np.packbits((2 * ones > len(hashes)).ravel(), bitorder="little").tobytes()
 
 
-def fingerprints(docs: DataFrame, width: int = 4, bits: int = 64) -> DataFrame:
+def fingerprints(docs: DataFrame, width: int = 4, bits: int = 64, once: bool = False) -> DataFrame:
     """(doc_id, fp, fp_high): the fingerprint's low and high 64 bits as signed longs; null and empty texts have zero."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = b"".join(fingerprint(t, width, bits).ljust(16, b"\0") for t in batch.column(1).to_pylist())
+            raw = b"".join(fingerprint(t, width, bits, once).ljust(16, b"\0") for t in batch.column(1).to_pylist())
             halves = np.frombuffer(raw, "<i8").reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(halves[:, 0]), pa.array(halves[:, 1])], ["doc_id", "fp", "fp_high"])
 
-    return map_arrow(docs.select("doc_id", text_bytes()), rows, "doc_id long, fp long, fp_high long")
+    frame = docs.select("doc_id", text_bytes())
+    return map_arrow(frame, rows, f"doc_id {frame.schema['doc_id'].dataType.simpleString()}, fp long, fp_high long")
 
 
 @cache
@@ -159,8 +165,8 @@ def anchors_of(prints: np.ndarray, layout: Layout) -> tuple[np.ndarray, np.ndarr
     return np.concatenate(keys), np.concatenate(owners)
 
 
-def _columns(batch: pa.RecordBatch, first: int) -> np.ndarray:
-    return np.stack([batch.column(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in (first, first + 1)], axis=1)
+def _columns(batch: pa.RecordBatch, first: int, count: int = 2) -> np.ndarray:
+    return np.stack([batch.column(i).to_numpy(zero_copy_only=False).view(np.uint64) for i in range(first, first + count)], axis=1)
 
 
 class _Forest:
@@ -203,14 +209,34 @@ def _close(homes: np.ndarray, others: np.ndarray, distance: int, out: list[np.nd
             out.append(np.c_[x[left][keep], y[right][keep]])
 
 
-def near_links(prints: DataFrame, layout: Layout = EXACT_4_OF_64) -> DataFrame:
-    """Edges (a, a_high, b, b_high) between distinct fingerprints, enough to join all that some segment brings together.
-
-    Each fingerprint goes to its home anchor (the code word within the covering radius, 1) and to every anchor within
-    radius plus the segment's threshold, so one of two close fingerprints meets the other at its home. The rows that leave
-    a distinct fingerprint are a constant of the layout; exact copies are folded before. An anchor's rows arrive sorted,
-    homes first, and stream past the homes: memory is the homes of one anchor.
-    """
+def _meetings(batches: Iterator[pa.RecordBatch], columns: int = 2) -> Iterator[list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]]:
+    """For each batch of (key, fp, fp_high, ...) in the order of keys, its busy anchors: anchor, homes so far, new homes, others."""
+    anchor, homes = None, np.zeros((0, columns), np.uint64)
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys, prints = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), _columns(batch, 1, columns)
+        place, away = keys >> np.uint64(1), (keys & np.uint64(1)).astype(bool)
+        starts = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
+        ends = np.r_[starts[1:], len(keys)]
+        live = ~away[starts]
+        live[0] |= anchor is not None and place[0] == anchor
+        # A lone home has nobody to meet, unless its anchor goes on in the next batch.
+        busy = live & ((ends - starts > 1) | (starts == 0) | (ends == len(keys)))
+        found = []
+        for s, e in zip(starts[busy].tolist(), ends[busy].tolist()):
+            if place[s] != anchor:
+                anchor, homes = place[s], homes[:0]
+            own, others = prints[s:e][~away[s:e]], prints[s:e][away[s:e]]
+            homes = np.concatenate([homes, own]) if len(own) else homes
+            found.append((int(anchor), homes, own, others))
+        if not live[-1]:
+            anchor, homes = None, homes[:0]
+        yield found
+
+
+def _replicas(prints: DataFrame, layout: Layout) -> DataFrame:
+    """(key, fp, fp_high): every fingerprint at its anchors; an anchor's rows in one task, homes first."""
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -221,38 +247,32 @@ def near_links(prints: DataFrame, layout: Layout = EXACT_4_OF_64) -> DataFrame:
                 low, high = part[owners, 0], part[owners, 1]
                 yield pa.RecordBatch.from_arrays([pa.array(v.view(np.int64)) for v in (keys, low, high)], ["key", "fp", "fp_high"])
 
+    replicas = map_arrow(prints.select("fp", "fp_high"), replicate, "key long, fp long, fp_high long")
+    return replicas.repartition(F.shiftright("key", 1)).sortWithinPartitions("key")
+
+
+def near_links(prints: DataFrame, layout: Layout = EXACT_4_OF_64) -> DataFrame:
+    """Edges (a, a_high, b, b_high) between distinct fingerprints, enough to join all that some segment brings together.
+
+    Each fingerprint goes to its home anchor (the code word within the covering radius, 1) and to every anchor within
+    radius plus the segment's threshold, so one of two close fingerprints meets the other at its home. The rows that leave
+    a distinct fingerprint are a constant of the layout; exact copies are folded before. An anchor's rows arrive sorted,
+    homes first, and stream past the homes: memory is the homes of one anchor.
+    """
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        anchor, homes = None, np.zeros((0, 2), np.uint64)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys, prints = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64), _columns(batch, 1)
-            place, away = keys >> np.uint64(1), (keys & np.uint64(1)).astype(bool)
-            starts = np.flatnonzero(np.r_[True, place[1:] != place[:-1]])
-            ends = np.r_[starts[1:], len(keys)]
-            live = ~away[starts]
-            live[0] |= anchor is not None and place[0] == anchor
-            # A lone home has nobody to meet, unless its anchor goes on in the next batch.
-            busy = live & ((ends - starts > 1) | (starts == 0) | (ends == len(keys)))
+        for met in _meetings(batches):
             edges: list[np.ndarray] = []
-            for s, e in zip(starts[busy].tolist(), ends[busy].tolist()):
-                if place[s] != anchor:
-                    anchor, homes = place[s], homes[:0]
-                own, others = prints[s:e][~away[s:e]], prints[s:e][away[s:e]]
+            for _, homes, own, others in met:
                 if len(own):
-                    homes = np.concatenate([homes, own])
                     _close(homes, own, layout.distance, edges)
                 if len(others):
                     _close(homes, others, layout.distance, edges)
-            if not live[-1]:
-                anchor, homes = None, homes[:0]
             if edges:
                 found = np.concatenate(edges).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(found[:, k]) for k in range(4)], ["a", "a_high", "b", "b_high"])
 
-    replicas = map_arrow(prints.select("fp", "fp_high"), replicate, "key long, fp long, fp_high long")
-    dealt = replicas.repartition(F.shiftright("key", 1)).sortWithinPartitions("key")
-    return map_arrow(dealt, compare, "a long, a_high long, b long, b_high long").distinct()
+    return map_arrow(_replicas(prints, layout), compare, "a long, a_high long, b long, b_high long").distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 4, layout: Layout = EXACT_4_OF_64) -> DataFrame:
@@ -276,13 +296,166 @@ def near_duplicates(docs: DataFrame, width: int = 4, layout: Layout = EXACT_4_OF
     return prints.join(classes, ["fp", "fp_high"]).select("doc_id", "fp", "fp_high", "component_id")
 
 
+def _candidate_members(prints: DataFrame, layout: Layout) -> DataFrame:
+    """The rows of ``_replicas`` that have a partner within the distance at their anchor: linear in the rows, whatever the groups."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for met in _meetings(batches):
+            out: list[np.ndarray] = []
+            for anchor, homes, own, others in met:
+                seen = np.zeros(len(homes), bool)
+                for away, more in ((0, own), (1, others)):
+                    near = np.zeros(len(more), bool)
+                    for at, left, to, right in _tiles(homes, more, layout.distance):
+                        seen[at + left], near[to + right] = True, True
+                    if not away:
+                        seen[len(homes) - len(own):] |= near
+                    elif near.any():
+                        out.append(np.c_[np.full(near.sum(), anchor << 1 | 1, np.uint64), more[near]])
+                if seen.any():
+                    out.append(np.c_[np.full(seen.sum(), anchor << 1, np.uint64), homes[seen]])
+            if out:
+                found = np.concatenate(out).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(found[:, k]) for k in range(3)], ["key", "fp", "fp_high"])
+
+    return map_arrow(_replicas(prints, layout), rows, "key long, fp long, fp_high long")
+
+
+def _tiles(homes: np.ndarray, others: np.ndarray, distance: int) -> Iterator[tuple[int, np.ndarray, int, np.ndarray]]:
+    """Tile by tile, first home and numbers from it, first other and numbers from it, of distinct pairs within the distance."""
+    for i in range(0, len(homes), TILE):
+        for j in range(0, len(others), TILE):
+            x, y = homes[i: i + TILE], others[j: j + TILE]
+            apart = np.bitwise_count(x[:, None, 0] ^ y[None, :, 0]) + np.bitwise_count(x[:, None, 1] ^ y[None, :, 1])
+            left, right = np.nonzero((apart <= distance) & (apart > 0))
+            if len(left):
+                yield i, left, j, right
+
+
+def _proposals(members: DataFrame, distance: int, most: int) -> DataFrame:
+    """(a, a_high, b, b_high, cut): pairs of ``members(key, fp, fp_high, label)`` whose labels differ.
+
+    ``most`` 0: a spanning forest at each anchor. Else up to ``most`` pairs of two labels in a tile; cut tells that there are more.
+    """
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, forest = None, _Forest()
+        for met in _meetings(batches, 3):
+            out: list[np.ndarray] = []
+            for anchor, homes, own, others in met:
+                if anchor != last:
+                    last, forest = anchor, _Forest()
+                for more in (own, others):
+                    for at, left, to, right in _tiles(homes, more, distance):
+                        x, y = homes[at + left], more[to + right]
+                        keep = x[:, 2] != y[:, 2]
+                        x, y = x[keep], y[keep]
+                        if not len(x):
+                            continue
+                        swap = (x[:, 0] > y[:, 0]) | ((x[:, 0] == y[:, 0]) & (x[:, 1] > y[:, 1]))
+                        x, y = np.where(swap[:, None], y, x), np.where(swap[:, None], x, y)
+                        cut = np.zeros(len(x), np.uint64)
+                        if most == 0:
+                            keep = np.array([forest.join(tuple(a), tuple(b)) for a, b in zip(x[:, :2].tolist(), y[:, :2].tolist())], bool)
+                        else:
+                            _, group = np.unique(np.c_[np.minimum(x[:, 2], y[:, 2]), np.maximum(x[:, 2], y[:, 2])], axis=0, return_inverse=True)
+                            order = np.argsort(group.ravel(), kind="stable")
+                            sizes = np.bincount(group.ravel())
+                            rank = np.empty(len(x), np.int64)
+                            rank[order] = np.arange(len(x)) - np.repeat(np.r_[0, np.cumsum(sizes)[:-1]], sizes)
+                            keep, cut = rank < most, (sizes > most)[group.ravel()].astype(np.uint64)
+                        out.append(np.c_[x[:, :2], y[:, :2], cut][keep])
+            if out:
+                found = np.concatenate(out).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(found[:, k]) for k in range(5)], ["a", "a_high", "b", "b_high", "cut"])
+
+    dealt = members.repartition(F.shiftright("key", 1)).sortWithinPartitions("key", "fp", "fp_high")
+    pairs = map_arrow(dealt, rows, "a long, a_high long, b long, b_high long, cut long")
+    return pairs.groupBy("a", "a_high", "b", "b_high").agg(F.max("cut").alias("cut"))
+
+
+def _similar(pairs: DataFrame, docs: DataFrame, width: int, similarity: float) -> DataFrame:
+    """``pairs(x, y, ...)`` of text digests and whether the shingle sets of both texts reach the similarity, as ``similar``."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [words_of(t) for t in batch.column(1).to_pylist()]
+            sets = [np.unique(shingle_hashes(w, width, 64).view("<i8")[:, 0]) if w else np.zeros(0, np.int64) for w in words]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["face", "shingles"])
+
+    needed = pairs.select(F.col("x").alias("face")).unionByName(pairs.select(F.col("y").alias("face"))).distinct()
+    texts = docs.select(_face().alias("face"), text_bytes()).join(needed, "face", "left_semi").groupBy("face").agg(F.first("text").alias("text"))
+    sets = written(map_arrow(texts, rows, "face binary, shingles array<long>"), "shingles")
+    both = pairs.join(sets.select(F.col("face").alias("x"), F.col("shingles").alias("own")), "x").join(
+        sets.select(F.col("face").alias("y"), F.col("shingles").alias("other")), "y")
+    shared = F.size(F.array_intersect("own", "other"))
+    enough = shared >= F.lit(similarity) * (F.size("own") + F.size("other") - shared)
+    return both.select(*pairs.columns, enough.alias("similar"))
+
+
+def _face() -> Column:
+    return F.unhex(F.md5(F.coalesce(F.col("text").cast("binary"), F.lit(b""))))
+
+
+def similar_groups(docs: DataFrame, width: int = 5, layout: Layout = SIMILAR_08, similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, component_id) for every row of ``docs``: groups over links between texts whose sets of distinct ``width``-word
+    shingles (as 64-bit hashes) have at least the Jaccard similarity.
+
+    Fingerprints of those sets meet at the anchors; a meeting only proposes. One text of each fingerprint stands for it, its other
+    texts are checked against that one and stay alone if they fail. Proposals go in rounds: first a spanning forest at each anchor,
+    then more and more of the pairs that join two different groups, until all of them have been checked. So a family of n close
+    texts costs some n checks and each pair that could join something is checked.
+    """
+    prints = written(fingerprints(docs.select(F.struct("doc_id", _face().alias("face")).alias("doc_id"), "text"), width, layout.bits, once=True), "similar")
+    prints = prints.select("doc_id.*", "fp", "fp_high")
+    texts = prints.groupBy("fp", "fp_high", "face").agg(F.min("doc_id").alias("least"))
+    faces = texts.groupBy("fp", "fp_high").agg(F.min("face").alias("face"))
+    members = written(_candidate_members(faces, layout), "members")
+    own = F.concat(F.hex("fp_high"), F.lit(":"), F.hex("fp"))
+    schema = "a long, a_high long, b long, b_high long, similar boolean"
+    checked, roots, most, links = docs.sparkSession.createDataFrame([], schema), None, 0, None
+    while True:
+        if roots is None:
+            labelled = members.withColumn("label", F.xxhash64("fp", "fp_high"))
+        else:
+            named = roots.select(F.col("node").alias("name"), "root")
+            labelled = members.withColumn("name", own).join(named, "name", "left").withColumn(
+                "label", F.xxhash64(F.coalesce("root", "name"))).select("key", "fp", "fp_high", "label")
+        proposed = written(_proposals(labelled, layout.distance, most), "proposed")
+        pairs = proposed.join(checked, ["a", "a_high", "b", "b_high"], "left_anti")
+        for end, face in (("a", "x"), ("b", "y")):
+            pairs = pairs.join(faces.select(F.col("fp").alias(end), F.col("fp_high").alias(f"{end}_high"), F.col("face").alias(face)), [end, f"{end}_high"])
+        pairs = written(pairs.select("a", "a_high", "b", "b_high", "x", "y"), "pairs")
+        fresh_pairs = pairs.count()
+        if fresh_pairs:
+            result = written(_similar(pairs, docs, width, similarity).select("a", "a_high", "b", "b_high", "similar"), "checked")
+            checked = checked.unionByName(result)
+            links = checked.where("similar").select(
+                F.concat(F.hex("a_high"), F.lit(":"), F.hex("a")).alias("a"), F.concat(F.hex("b_high"), F.lit(":"), F.hex("b")).alias("b"))
+            roots = cut_lineage(connected_components(cut_lineage(links)))
+        elif most and not proposed.where("cut = 1").limit(1).count():
+            break
+        elif not most and not proposed.limit(1).count():
+            break
+        most = most * 8 if most else 8
+    if roots is None:
+        roots = docs.sparkSession.createDataFrame([], "node string, root string")
+    beside = texts.join(faces.withColumnRenamed("face", "x"), ["fp", "fp_high"]).where("face <> x").select("fp", "fp_high", "x", F.col("face").alias("y"))
+    apart = _similar(written(beside, "beside"), docs, width, similarity).where("not similar").select("fp", "fp_high", F.col("y").alias("face"), F.lit(True).alias("alone"))
+    placed = texts.join(written(apart, "apart"), ["fp", "fp_high", "face"], "left").withColumn("node", own).join(roots, "node", "left").withColumn(
+        "root", F.when(F.col("alone"), F.concat("node", F.lit(":"), F.hex("face"))).otherwise(F.coalesce("root", "node")))
+    named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
+    classes = placed.join(named, "root").select("fp", "fp_high", "face", "component_id")
+    return prints.join(classes, ["fp", "fp_high", "face"]).select("doc_id", "component_id")
+
+
 def keep_one(docs: DataFrame, width: int = 5, layout: Layout = SIMILAR_08) -> DataFrame:
-    """The document with the smallest doc_id of each group, with all its columns.
+    """The document with the smallest doc_id of each group of ``similar_groups``, with all its columns.
 
     doc_id names a document: of rows that repeat it the first by text, lang and source stays. Rows without a doc_id stay.
     """
     leads, nth = fresh(docs, "leads"), fresh(docs, "nth")
-    leaders = near_duplicates(docs, width, layout).where("doc_id = component_id").select("doc_id", F.lit(True).alias(leads)).distinct()
+    leaders = similar_groups(docs, width, layout).where("doc_id = component_id").select("doc_id", F.lit(True).alias(leads)).distinct()
     first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text", "lang", "source"))
     kept = docs.join(leaders, "doc_id", "left").where(F.col(leads) | F.col("doc_id").isNull()).withColumn(nth, first)
     return kept.where((F.col(nth) == 1) | F.col("doc_id").isNull()).select(*docs.columns)
