@@ -87,6 +87,16 @@ def test_ppm_edges(make_docs, monkeypatch):
         assert r.base_score == pytest.approx(full[r.doc_id][0], rel=1e-9) and r.n_known == full[r.doc_id][1]
 
 
+def test_ppm_uses_the_whole_trie(make_docs, monkeypatch):
+    """However few values are broadcast, the scores are those of all counts."""
+    monkeypatch.setattr(ppm, "TRIE_ENTRIES", 20, raising=False)
+    monkeypatch.setattr(ppm, "HEAD_GRAMS", 20, raising=False)
+    texts = {k: text_in(["aa", "cc"][k % 2], k, 12) for k in range(12)} | {50: None, 51: "Ñ never seen", 52: "q" * 300}
+    training = [(t or "").encode() for k, t in texts.items() if zlib.crc32(str(k).encode()) % 5 != 1]
+    for row in ppm.scored(make_docs(list(texts.items()))).collect():
+        assert row.score == pytest.approx(slow_ppm(training, (texts[row.doc_id] or "").encode()), rel=1e-6)
+
+
 def test_gradients():
     model = langid.ByteTagger(["a", "b", "c"])
     model.w = {k: v.astype(np.float64) for k, v in model.w.items()}

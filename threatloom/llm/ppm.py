@@ -16,9 +16,8 @@ from threatloom.llm.common import map_arrow, text_bytes, words_of, written
 ORDER = 5
 #: Bytes that no UTF-8 text holds: before a text's first byte (context only), and the symbol after its last.
 START, END = 0xFE, 0xFF
-#: Most entries (context and symbol) of the trie, and most words, that are broadcast. Rarer entries of the trie are left to
-#: the escape; rarer words are looked up in a join.
-TRIE_ENTRIES, HEAD_WORDS = 2_500_000, 300_000
+#: Most gram keys and most words whose values are broadcast; rarer ones are looked up in a join.
+HEAD_GRAMS, HEAD_WORDS = 1_000_000, 300_000
 #: Positions handled at once.
 CHUNK = 1 << 20
 
@@ -84,7 +83,7 @@ class Trie:
     the number of distinct symbols seen there against that plus their count) and the context shortened by its first byte,
     where the symbols already refused are excluded. Below the empty context all remaining byte values are equally likely.
     As every symbol of a context also follows each shorter one, what a context excludes is known beforehand: it is kept as
-    that context's lower total. ``grams``: by order, (sorted keys, counts).
+    that context's lower total. ``grams``: by order, (sorted keys, counts). All in memory: the short form of ``gram_values``.
     """
 
     def __init__(self, grams: list[tuple[np.ndarray, np.ndarray]]):
@@ -148,22 +147,36 @@ class Trie:
         total[left] -= np.where(context < 0, math.log(255), self.low_total[context])
         return total
 
-    def score(self, texts: list[bytes]) -> np.ndarray:
-        """Base-10 logarithm of each text's probability, its end included."""
-        out, at = np.zeros(len(texts)), 0
+
+class Values:
+    """Values of gram keys in one table; for the symbols of texts their sums, and the keys that are not there."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.keys, self.values = keys, np.r_[values, 0.0]
+
+    def __getstate__(self):
+        return {"keys": self.keys, "values": self.values}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        self.table = _Table(self.keys)
+
+    def score(self, texts: list[bytes]) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Each text's sum, its end included, and its symbols' keys without a value."""
+        out, rare, at = np.zeros(len(texts)), [], 0
         while at < len(texts):
             size, end = 0, at
             while end < len(texts) and (size < CHUNK or end == at):
                 size += len(texts[end])
                 end += 1
-            if size <= 4 * CHUNK:
-                keys, lengths = gram_keys(texts[at:end], self.orders - 1)
-                out[at:end] = np.add.reduceat(self.log_probability(keys), np.r_[0, np.cumsum(lengths)[:-1]])
-            else:  # one very long text, in pieces that overlap by a context
-                keys, _ = gram_keys(texts[at:end], self.orders - 1)
-                out[at:end] = sum(self.log_probability(keys[k: k + CHUNK]).sum() for k in range(0, len(keys), CHUNK))
+            keys, lengths = gram_keys(texts[at:end])
+            rows = np.concatenate([self.table.find(keys[k: k + CHUNK]) for k in range(0, len(keys), CHUNK)])
+            starts = np.r_[0, np.cumsum(lengths)[:-1]]
+            out[at:end] = np.add.reduceat(self.values[rows], starts)
+            missing = np.flatnonzero(rows < 0)
+            rare += np.split(keys[missing].view(np.int64), np.searchsorted(missing, starts[1:]))
             at = end
-        return out / math.log(10)
+        return out, rare
 
 
 def gather(docs: DataFrame) -> DataFrame:
@@ -230,32 +243,72 @@ def _least_count(counts: DataFrame, most: int) -> int:
     return least
 
 
-def build_trie(grams: DataFrame, most: int = TRIE_ENTRIES) -> Trie:
-    """The trie of (gram, n) counts. One count decides for all orders, so a kept context's shorter ones are kept too."""
-    entries = grams.select(F.lit(ORDER).alias("length"), "gram", "n")
-    below = grams
+def _low(column: str, order: int) -> Column:
+    """The gram's symbol and the last ``order`` bytes of its context."""
+    return F.col(column).bitwiseAND(F.lit((1 << (8 * (order + 1))) - 1))
+
+
+def trie_tables(grams: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
+    """The whole trie of (gram, n) counts, by order: (gram, n), and (context, total, kinds, low_total, low_escape) as in ``Trie``."""
+    below, tables = grams, [grams]
     for order in range(ORDER - 1, -1, -1):
-        below = below.groupBy(F.col("gram").bitwiseAND(F.lit((1 << (8 * (order + 1))) - 1)).alias("gram")).agg(F.sum("n").alias("n"))
-        entries = entries.unionByName(below.select(F.lit(order).alias("length"), "gram", "n"))
-    entries = written(entries, "trie")
-    kept = entries.where(F.col("n") >= _least_count(entries, most)).toArrow()
-    length, gram, n = (kept.column(k).to_numpy() for k in range(3))
-    tables = []
-    for order in range(ORDER + 1):
-        own = np.flatnonzero(length == order)
-        own = own[np.argsort(gram[own])]
-        tables.append((gram[own].view(np.uint64), n[own].astype(np.int64)))
-    return Trie(tables)
+        below = written(below.groupBy(_low("gram", order).alias("gram")).agg(F.sum("n").alias("n")), "trie")
+        tables.append(below)
+    tables.reverse()
+    contexts = []
+    for order, table in enumerate(tables):
+        if not order:
+            own = table.groupBy(F.shiftright("gram", 8).alias("context")).agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
+            own = own.withColumn("low_total", F.log(F.greatest(F.lit(1), 255 - F.col("kinds")))).withColumn("low_escape", F.lit(0.0))
+        else:
+            lower = tables[order - 1].select(F.col("gram").alias("short"), F.col("n").alias("lower"))
+            own = table.withColumn("short", _low("gram", order - 1)).join(lower, "short").groupBy(F.shiftright("gram", 8).alias("context")).agg(
+                F.sum("n").alias("total"), F.count("*").alias("kinds"), F.sum("lower").alias("shared"))
+            shorter = contexts[-1].select(F.col("context").alias("short"), F.col("total").alias("low_n"), F.col("kinds").alias("low_kinds"))
+            own = own.withColumn("short", _low("context", order - 2) if order > 1 else F.lit(0).cast("long")).join(shorter, "short")
+            left = F.col("low_kinds") - F.col("kinds")
+            rest = F.log(F.greatest(F.lit(1), F.col("low_n") - F.col("shared") + left))
+            own = own.select("context", "total", "kinds", rest.alias("low_total"), F.when(left > 0, F.log(left) - rest).otherwise(0.0).alias("low_escape"))
+        contexts.append(written(own, "contexts"))
+    return tables, contexts
+
+
+def gram_values(keys: DataFrame, grams: DataFrame) -> DataFrame:
+    """(gram, times, value) for the distinct ``keys(gram, times)``: the base-10 logarithm that the whole trie of ``grams`` gives each.
+
+    One pass of joins an order; keys that an order has leave, the others take its escape along.
+    """
+    tables, contexts = trie_tables(grams)
+    none = F.lit(None).cast("double")
+    open_, done = keys.select("gram", "times", F.lit(0.0).alias("sum"), none.alias("over_total"), none.alias("over_escape")), []
+    for order in range(ORDER, -1, -1):
+        own, around = tables[order].withColumnRenamed("gram", "key"), contexts[order].withColumnRenamed("context", "around")
+        if order < 2:  # at most 65,536 entries
+            own, around = F.broadcast(own), F.broadcast(around)
+        met = open_.withColumn("key", _low("gram", order)).withColumn("around", F.shiftright("key", 8)).join(own, "key", "left").join(around, "around", "left")
+        bottom, first = F.log(F.col("total") + F.col("kinds")), F.col("over_total").isNull()
+        hit = F.log("n") - F.when(first, bottom).otherwise(F.col("over_total"))
+        escape = F.when(F.col("total").isNull(), 0.0).when(first, F.log("kinds") - bottom).otherwise(F.col("over_escape"))
+        met = written(met.select(
+            "gram", "times", (F.col("sum") + F.when(F.col("n").isNotNull(), hit).otherwise(escape)).alias("sum"), F.coalesce("low_total", "over_total").alias("over_total"),
+            F.when(F.col("total").isNull(), F.col("over_escape")).otherwise(F.col("low_escape")).alias("over_escape"), F.col("n").isNotNull().alias("found")), "order")
+        done.append(met.where("found").select("gram", "times", "sum"))
+        open_ = met.where("not found").drop("found")
+    found = open_.select("gram", "times", (F.col("sum") - F.coalesce("over_total", F.lit(math.log(255)))).alias("sum"))
+    for more in done:
+        found = found.unionByName(more)
+    return found.select("gram", "times", (F.col("sum") / math.log(10)).alias("value"))
 
 
 def scored(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of ``docs``.
 
-    The model learns from the rows that are not held out, its counts cover all of them. ``score`` is the log10 probability of the
-    whole text, byte by byte with its end. The base takes lower-cased words and one end a text. Words of the head
-    vocabulary are looked up in the task; others, a few per cent, leave it as rows and meet their counts in a join. Null and
-    empty texts have the end alone. Repeated rows are scored one by one; a null doc_id is learned from. With nothing to
-    learn from, every byte is equally likely and every word unknown.
+    The model learns from the rows that are not held out, its counts cover all of them and all are used. ``score`` is the log10
+    probability of the whole text, byte by byte with its end: each distinct gram key of all rows gets its value in joins with the trie;
+    the values of the most frequent keys are looked up in the task, the other keys leave it as rows like rare words. The base
+    takes lower-cased words and one end a text. Words of the head vocabulary are looked up in the task; others, a few per
+    cent, leave it as rows and meet their counts in a join. Null and empty texts have the end alone. Repeated rows are scored
+    one by one; a null doc_id is learned from. With nothing to learn from, every byte is equally likely and every word unknown.
     """
     spark = docs.sparkSession
     counts = written(gather(docs.where(~held_out())), "ppm_counts")
@@ -264,11 +317,17 @@ def scored(docs: DataFrame) -> DataFrame:
     tokens, bottom = totals["n"], math.log10(totals["n"] + 0.5 * (totals["v"] + 1))
     least = _least_count(words, HEAD_WORDS)
     head = words.where(F.col("n") >= least).toArrow()
+    grams = counts.where("gram is not null").select("gram", "n")
+    others = gather(docs.where(held_out())).where("gram is not null").select("gram", "n")
+    keys = written(grams.unionByName(others).groupBy("gram").agg(F.sum("n").alias("times")), "gram_keys")
+    values = written(gram_values(keys, grams), "gram_values")
+    least_gram = _least_count(values.select(F.col("times").alias("n")), HEAD_GRAMS)
+    top = values.where(F.col("times") >= least_gram).select("gram", "value").toArrow()
     model = spark.sparkContext.broadcast((
-        build_trie(counts.where("gram is not null").select("gram", "n")), head.column(0).to_pylist(), np.log10(head.column(1).to_numpy() + 0.5) - bottom))
+        Values(top.column(0).to_numpy().view(np.uint64), top.column(1).to_numpy()), head.column(0).to_pylist(), np.log10(head.column(1).to_numpy() + 0.5) - bottom))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, names, values = model.value
+        frequent, names, values = model.value
         number = {w: k for k, w in enumerate(names)}
         get = number.get
         values = np.r_[values, 0.0]
@@ -283,18 +342,22 @@ def scored(docs: DataFrame) -> DataFrame:
                 known.append(int((found >= 0).sum()) + (b"" in number))
                 base.append(float(values[found].sum()) + end)
                 rare.append([own[k] for k in np.flatnonzero(found < 0).tolist()] + ([] if b"" in number else [b""]))
+            sums, rare_grams = frequent.score(texts)
             yield pa.RecordBatch.from_arrays([
-                *batch.columns[1:], pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(trie.score(texts), pa.float64()),
-                pa.array(rare, pa.list_(pa.binary()))], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare"])
+                *batch.columns[1:], pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(sums, pa.float64()),
+                pa.array(rare, pa.list_(pa.binary())), pa.array(rare_grams, pa.list_(pa.int64()))], ["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare", "rare_grams"])
 
     frame = docs.select(text_bytes(), "doc_id", held_out().alias("held_out"))
-    first = written(map_arrow(frame, rows, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<binary>").withColumn(
+    first = written(map_arrow(frame, rows, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<binary>, rare_grams array<long>").withColumn(
         "row", F.monotonically_increasing_id()), "ppm_first")
     rest = first.select("row", F.explode("rare").alias("word")).groupBy("row", "word").agg(F.count("*").alias("times"))
     met = rest.join(words.where(F.col("n") < least), "word", "left")
     sums = met.groupBy("row").agg(
         F.sum(F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("more"),
         F.sum(F.col("times") * (F.log10(F.coalesce("n", F.lit(0)) + 0.5) - F.lit(bottom))).alias("rest"))
-    return first.drop("rare").join(sums, "row", "left").select(
+    far = first.select("row", F.explode("rare_grams").alias("gram")).groupBy("row", "gram").agg(F.count("*").alias("times")).join(
+        values.where(F.col("times") < least_gram).select("gram", "value"), "gram")
+    far_sums = far.groupBy("row").agg(F.sum(F.col("times") * F.col("value")).alias("far"))
+    return first.drop("rare", "rare_grams").join(sums, "row", "left").join(far_sums, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"),
-        (F.col("base_score") + F.coalesce("rest", F.lit(0.0))).alias("base_score"), "score")
+        (F.col("base_score") + F.coalesce("rest", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("far", F.lit(0.0))).alias("score"))
