@@ -206,6 +206,15 @@ def test_decontamination_against_brute_force(spark, make_docs):
     assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted((i for i, _ in rows if i not in bad), key=str)
 
 
+def test_short_items_in_long_documents():
+    """A short item meets each document that holds it, at every place of its windows."""
+    items = [(k, " ".join(prose(3000 + k, 5 + k % 8)).encode()) for k in range(400)]
+    index, known = decontaminate.ItemIndex(items), decontaminate._WordHashes()
+    docs = [" ".join(prose(5000 + k, 300 + k) + item.decode().split() + prose(7000 + k, 500)).encode() for k, item in items]
+    found = index.candidates([decontaminate.shingle_codes(d.split(), known) for d in docs])
+    assert [k for k in range(400) if (k, k) not in found] == []
+
+
 def test_decontamination_in_blocks(spark, make_docs, monkeypatch):
     items = [(k, " ".join(prose(600 + k, 30))) for k in range(9)]
     docs = make_docs([(k, " ".join(prose(700 + k, 100)) + " " + text) for k, text in items])

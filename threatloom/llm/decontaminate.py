@@ -17,6 +17,8 @@ HASHES = 48
 BLOCK_SHINGLES = 200_000
 #: Least window step, in shingles, and shingles hashed at once.
 STEP, CHUNK = 8, 1 << 19
+#: Items of at most so many shingles fill too little of a window of three steps: their codes are looked up one by one.
+SHORT = STEP
 
 _DRAW = np.random.default_rng(11)
 _ODD = _DRAW.integers(0, 1 << 31, HASHES, dtype=np.uint32) * 2 + 1
@@ -62,21 +64,28 @@ def _size_class(n: int) -> int:
 
 
 class ItemIndex:
-    """Signatures of a block of items by size class, and their shingles."""
+    """Signatures of a block of items by size class, codes of the short ones, and the shingles of all."""
 
     def __init__(self, items: list[tuple[int, bytes]]):
         known = _WordHashes()
         self.sets: list[tuple[int, frozenset[bytes]]] = []
         rows: dict[int, list[tuple[np.ndarray, int]]] = {}
+        short: list[tuple[np.ndarray, int]] = []
         for item_id, text in items:
             words = words_of(text)
             found = frozenset(shingles(words))
             if not found:
                 continue
             codes = shingle_codes(words, known)
-            signature = ((codes[None, :] ^ _MASK[:, None]) * _ODD[:, None]).min(axis=1)
-            rows.setdefault(_size_class(len(found)), []).append((signature, len(self.sets)))
+            if len(found) <= SHORT:
+                short.append((np.unique(codes), len(self.sets)))
+            else:
+                signature = ((codes[None, :] ^ _MASK[:, None]) * _ODD[:, None]).min(axis=1)
+                rows.setdefault(_size_class(len(found)), []).append((signature, len(self.sets)))
             self.sets.append((item_id, found))
+        codes = np.concatenate([c for c, _ in short]) if short else np.zeros(0, np.uint32)
+        order = np.argsort(codes, kind="stable")
+        self.short_codes, self.short_owners = codes[order], np.repeat([o for _, o in short], [len(c) for c, _ in short])[order] if short else order
         self.steps = sorted(rows)
         #: By step and hash: minima in order, the items behind them, and which upper 16 bits occur.
         self.minima, self.owners, self.seen = {}, {}, {}
@@ -91,13 +100,26 @@ class ItemIndex:
                 seen[j, signatures[j] >> 16] = True
             self.seen[step] = seen
 
+    def _short_candidates(self, codes: list[np.ndarray]) -> set[tuple[int, int]]:
+        """(document, item) numbers of the short items that share a code."""
+        found: set[tuple[int, int]] = set()
+        if not len(self.short_codes) or not codes:
+            return found
+        flat, docs = np.concatenate(codes), np.repeat(np.arange(len(codes)), [len(c) for c in codes])
+        low = np.searchsorted(self.short_codes, flat, "left")
+        hit = self.short_codes[np.minimum(low, len(self.short_codes) - 1)] == flat
+        pairs = np.unique(np.c_[docs[hit], low[hit], np.searchsorted(self.short_codes, flat[hit], "right")], axis=0)
+        for doc, s, e in pairs.tolist():
+            found.update((doc, o) for o in self.short_owners[s:e].tolist())
+        return found
+
     def candidates(self, codes: list[np.ndarray]) -> set[tuple[int, int]]:
-        """(document, item) numbers whose windows and signatures share a minimum.
+        """(document, item) numbers whose windows and signatures share a minimum, and those of short items that share a code.
 
         A document is cut into steps; three steps in a row are a window, half as long again as the largest item of the class, and
         hold every run of that many shingles. The minimum of a longer step is the lesser of two shorter ones.
         """
-        found: set[tuple[int, int]] = set()
+        found = self._short_candidates(codes)
         if not self.steps:
             return found
         rows = [-(-len(c) // STEP) for c in codes]
@@ -156,9 +178,9 @@ def _item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, bytes]]]:
 def contained_items(docs: DataFrame, benchmark: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
     """(doc_id, item_id, n_shared, n_item, containment) for each row of ``docs`` and item with enough of its shingles in it.
 
-    Items go by the class of their size; documents are cut into overlapping windows of each class, so that an item fills at least
-    a third of some window that holds it and one of HASHES minima agrees with near certainty (a similarity of 0.25 is missed
-    with 1e-6). Each pair that meets is verified on the exact sets of shingles of the whole document. Items are taken in blocks of
+    Items of up to SHORT shingles meet every document that shares one of their codes. Larger items go by the class of their size;
+    documents are cut into overlapping windows of each class, so that an item fills at least a third of some window that
+    holds it and one of HASHES minima agrees with near certainty (a similarity of 0.25 is missed with 1e-6). Each pair that meets is verified on the exact sets of shingles of the whole document. Items are taken in blocks of
     bounded size, each broadcast for one pass over the documents without any shuffle. Items without words match nothing; an
     item of fewer than five words matches documents that consist of it. Null texts are empty; repeated rows give repeated results.
     """
