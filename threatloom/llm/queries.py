@@ -5,7 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 from pyspark.sql import functions as F
 
-from threatloom.llm import chat, decontaminate, langid, line_dedup, packing, ppm, quality_rules, simhash, warc, weak_quality
+from threatloom.llm import chat, decontaminate, infill, langid, line_dedup, packing, ppm, quality_rules, simhash, warc, weak_quality
 from threatloom.llm.common import LOWER, UPPER, table
 from threatloom.queries.registry import Registry
 
@@ -120,3 +120,20 @@ def op7_chat(spark, sf_dir):
     trap = spark.createDataFrame([(-7, 0, "user", _TRAP), (-7, 1, "assistant", _TRAP)], "conv_id long, turn long, role string, text string")
     conversations = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(trap)
     return chat.read_back(chat.segments(conversations)).drop("n_errors")
+
+
+@_register("op13_infill", """
+    WITH h AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS d FROM documents),
+    k AS (SELECT *, CAST('0x' || substr(d, 1, 8) AS BIGINT) % (n + 1) AS c1, CAST('0x' || substr(d, 9, 8) AS BIGINT) % (n + 1) AS c2,
+        CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR CAST('0x' || substr(d, 17, 8) AS BIGINT) % 100 >= 90 THEN 'plain'
+            WHEN CAST('0x' || substr(d, 25, 8) AS BIGINT) % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+    c AS (SELECT *, least(c1, c2) AS a, greatest(c1, c2) AS b FROM k),
+    s AS (SELECT *, substr(t, 1, a) AS p, substr(t, a + 1, b - a) AS m, substr(t, b + 1) AS s FROM c)
+    SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+        sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+        sha256(t) AS restored_sha256
+    FROM s""")
+def op13_infill(spark, sf_dir):
+    back = infill.restored(infill.infilled(table(spark, sf_dir, "documents")))
+    return back.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
+                       F.sha2(F.col("text").cast("binary"), 256).alias("restored_sha256"))
