@@ -5,7 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 from pyspark.sql import functions as F
 
-from threatloom.llm import chat, decontaminate, infill, langid, line_dedup, packing, ppm, quality_rules, simhash, warc, weak_quality
+from threatloom.llm import chat, decontaminate, infill, langid, line_dedup, packing, ppm, quality_rules, ranked, simhash, warc, weak_quality
 from threatloom.llm.common import LOWER, UPPER, table
 from threatloom.queries.registry import Registry
 
@@ -137,3 +137,24 @@ def op13_infill(spark, sf_dir):
     back = infill.restored(infill.infilled(table(spark, sf_dir, "documents")))
     return back.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
                        F.sha2(F.col("text").cast("binary"), 256).alias("restored_sha256"))
+
+
+_TERM = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
+
+
+def _terms(key: str, source: str) -> str:
+    return f"SELECT {key}, unnest(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{_TERM}')) AS term FROM {source} WHERE text IS NOT NULL"
+
+
+@_register("op11_ranked", f"""
+    WITH t AS ({_terms('doc_id', 'documents')}), q AS (SELECT DISTINCT item_id, term FROM ({_terms('item_id', 'benchmark')})),
+    d AS (SELECT doc_id, count(*) AS n FROM t GROUP BY doc_id), a AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS total FROM d),
+    p AS (SELECT doc_id, term, count(*) AS tf FROM t WHERE term IN (SELECT term FROM q) GROUP BY doc_id, term),
+    w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM p, a GROUP BY term, docs),
+    m AS (SELECT doc_id, 50 + (50 * n * docs) // total AS m FROM d, a),
+    s AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score
+        FROM q JOIN p USING (term) JOIN w USING (term) JOIN m USING (doc_id) GROUP BY item_id, doc_id),
+    r AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s WHERE score > 0)
+    SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 50""")
+def op11_ranked(spark, sf_dir):
+    return ranked.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
