@@ -5,7 +5,7 @@ from __future__ import annotations
 import corpus_pipeline
 from pyspark.sql import functions as F
 
-from threatloom.llm import chat, decontaminate, infill, langid, line_dedup, packing, ppm, quality_rules, ranked, simhash, warc, weak_quality
+from threatloom.llm import chat, decontaminate, infill, langid, line_dedup, packing, ppm, quality_rules, ranked, repeats, simhash, warc, weak_quality
 from threatloom.llm.common import LOWER, UPPER, table
 from threatloom.queries.registry import Registry
 
@@ -158,3 +158,22 @@ def _terms(key: str, source: str) -> str:
     SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 50""")
 def op11_ranked(spark, sf_dir):
     return ranked.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@_register("op12_repeats", """
+    WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+    w AS (SELECT doc_id, p, b[p + 1:p + 50] AS s FROM (SELECT doc_id, b, unnest(range(0, n - 49)) AS p FROM d WHERE n >= 50)),
+    f AS (SELECT s, min(doc_id) AS least FROM w GROUP BY s),
+    g AS (SELECT doc_id, p FROM w JOIN f USING (s) WHERE doc_id > least),
+    e AS (SELECT *, CASE WHEN p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) <= 50 THEN 0 ELSE 1 END AS new FROM g),
+    r AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS nth FROM e),
+    spans AS (SELECT doc_id, min(p) AS s, max(p) + 50 AS e FROM r GROUP BY doc_id, nth),
+    kept AS (SELECT doc_id, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS a, s AS z FROM spans UNION ALL
+        SELECT doc_id, coalesce(max(e), 0), any_value(n) FROM d LEFT JOIN spans USING (doc_id) GROUP BY doc_id),
+    t AS (SELECT doc_id, string_agg(hex(b[a + 1:z]), '' ORDER BY a) AS h FROM kept JOIN d USING (doc_id) GROUP BY doc_id),
+    c AS (SELECT doc_id, sum(e - s) AS gone, count(*) AS spans FROM spans GROUP BY doc_id)
+    SELECT doc_id, n AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(h)) AS kept_sha256
+    FROM d LEFT JOIN c USING (doc_id) JOIN t USING (doc_id)""")
+def op12_repeats(spark, sf_dir):
+    found = repeats.without_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("text", 256).alias("kept_sha256"))
