@@ -6,6 +6,7 @@ gram. Neighbouring windows of one gram travel together as a *stretch* of text. E
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Iterator
 from itertools import groupby
@@ -17,11 +18,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from threatloom.llm.common import map_arrow, shared_folder, text_bytes, written
-from threatloom.session import ship_package
+from threatloom.session import cut_lineage, ship_package
 
 LEAST = 50
 #: Text of a chunk (whole texts), of the grams of a bucket, and of the stretches of a slot, in bytes of input.
-CHUNK_BYTES, BUCKET_BYTES, SLOT_BYTES = 24 << 20, 32 << 20, 2 << 20
+CHUNK_BYTES, BUCKET_BYTES, SLOT_BYTES = 12 << 20, 8 << 20, 2 << 20
 #: Text hashed at once, windows of a stretch, and suffixes sorted at once.
 BLOCK, STRETCH, SUFFIXES = 1 << 20, 32, 200_000
 #: Grams with more different stretches than this are dealt out by whole windows.
@@ -30,7 +31,8 @@ HOT = 4096
 _SYMBOLS = np.random.default_rng(5).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ONE, _TWO = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 #: Bits of a gram's hash kept beside its bucket, and bits for the number of its stretches in a chunk (as a power of two).
-_KEPT, _SIZE = 44, 4
+_KEPT, _SIZE = 36, 4
+_BYTES = (_KEPT + _SIZE) // 8
 
 
 def _mixed(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -112,7 +114,7 @@ def _code(key: np.ndarray, bits: int) -> np.ndarray:
 # --- chunks: whole texts, numbered, written once, bucketed by chunk
 
 def _chunks(docs: DataFrame) -> DataFrame:
-    """(chunk, nth, doc_id, size, text) as a table bucketed by chunk, so that later steps meet the texts without shuffling them."""
+    """(chunk, nth, doc_id, size, digest, text) as a table bucketed by chunk, so that later steps meet the texts without shuffling them."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, nth, held = TaskContext.get().partitionId() << 24, 0, 0
@@ -125,71 +127,75 @@ def _chunks(docs: DataFrame) -> DataFrame:
                 chunks.append(chunk)
                 numbers.append(nth)
                 nth, held = nth + 1, held + size
-            columns = [pa.array(chunks, pa.int64()), pa.array(numbers, pa.int64()), batch.column(0), pa.array(sizes, pa.int64()), batch.column(1)]
-            yield pa.RecordBatch.from_arrays(columns, ["chunk", "nth", "doc_id", "size", "text"])
+            digests = pa.array((hashlib.sha256(text.as_py() or b"").digest() for text in batch.column(1)), pa.binary())
+            columns = [pa.array(chunks, pa.int64()), pa.array(numbers, pa.int64()), batch.column(0), pa.array(sizes, pa.int64()), digests, batch.column(1)]
+            yield pa.RecordBatch.from_arrays(columns, ["chunk", "nth", "doc_id", "size", "digest", "text"])
 
     frame = docs.select("doc_id", text_bytes())
     name = f"repeats_{uuid.uuid4().hex}"
-    numbered = map_arrow(frame, rows, f"chunk long, nth long, doc_id {frame.schema['doc_id'].dataType.simpleString()}, size long, text binary")
+    numbered = map_arrow(frame, rows, f"chunk long, nth long, doc_id {frame.schema['doc_id'].dataType.simpleString()}, size long, digest binary, text binary")
     parts = max(1, frame.rdd.getNumPartitions())
-    numbered.write.format("parquet").option("path", shared_folder(docs.sparkSession, "repeats")).bucketBy(parts, "chunk").saveAsTable(name)
+    numbered.write.format("parquet").option("compression", "zstd").option("path", shared_folder(docs.sparkSession, "repeats")).bucketBy(parts, "chunk").saveAsTable(name)
     chunks = docs.sparkSession.table(name)
     docs.sparkSession.sql(f"DROP TABLE {name}")  # the name only; the files stay
     return chunks
 
 
+def _copies(chunks: DataFrame) -> DataFrame:
+    """(chunk, nth, size) of the texts that a smaller document holds too, as a whole (by SHA-256). The rest of the work leaves them out."""
+    least = chunks.groupBy(F.col("digest").alias("same")).agg(F.min("doc_id").alias("least"))
+    later = F.col("least").isNotNull() & (F.col("doc_id").isNull() | (F.col("doc_id") > F.col("least")))
+    return chunks.select("chunk", "nth", "doc_id", "size", "digest").join(least, F.col("digest") == F.col("same")).where(later).select("chunk", "nth", "size")
+
+
+def _without(left: pa.Table, nths: pa.ChunkedArray) -> pa.Table:
+    """The texts of a chunk that are no copies."""
+    return left.filter(pc.invert(pc.is_in(left.column("nth"), pc.drop_null(nths)))) if len(nths) else left
+
+
 # --- grams that several stretches share
 
-def _shared_grams(chunks: DataFrame, bits: int, least: int) -> DataFrame:
+def _shared_grams(chunks: DataFrame, copies: DataFrame, bits: int, least: int) -> DataFrame:
     """(chunk, hot, codes): the grams of a chunk that other chunks have too, or that begin several different stretches in it."""
 
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[bytes] = []
-        number = None
-
-        def rows() -> Iterator[pa.RecordBatch]:
-            if not held:
-                return
-            found = [(s.key, s.twin) for _, s in blocks(held, least)]
-            key, twin = (np.concatenate(x) for x in zip(*found))
-            if not len(key):
-                return
-            code = _code(key, bits)
-            order = np.lexsort((twin, code))
-            code, twin = code[order], twin[order]
-            new = np.r_[True, code[1:] != code[:-1]]
-            kinds = np.add.reduceat(np.r_[True, (code[1:] != code[:-1]) | (twin[1:] != twin[:-1])].astype(np.int64), np.flatnonzero(new))
-            code = code[new]
-            power = np.minimum(np.ceil(np.log2(kinds)), (1 << _SIZE) - 1).astype(np.uint64)
-            bucket = (code >> np.uint64(_KEPT)).astype(np.int64)
-            packed = ((code & np.uint64((1 << _KEPT) - 1)) << np.uint64(_SIZE) | power).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].copy()
-            starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-            for at in range(0, len(starts), 4096):
-                own = starts[at: at + 4096]
-                ends = np.r_[own[1:], starts[at + 4096] if at + 4096 < len(starts) else len(bucket)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(bucket[own]), pa.array(np.full(len(own), number)), pa.array([packed[s:e].tobytes() for s, e in zip(own.tolist(), ends.tolist())], pa.binary())],
-                    ["bucket", "chunk", "grams"])
-
-        for batch in batches:
-            for chunk, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                if chunk != number:
-                    yield from rows()
-                    held, number = [], chunk
-                held.append(text.as_py() or b"")
-        yield from rows()
+    def ask(left: pa.Table, right: pa.Table) -> pa.Table:
+        names, types = ["bucket", "chunk", "grams"], [pa.int64(), pa.int64(), pa.binary()]
+        left = _without(left, right.column("nth"))
+        found = [(s.key, s.twin) for _, s in blocks([t or b"" for t in left.column("text").to_pylist()], least)]
+        key, twin = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
+        if not len(key):
+            return pa.Table.from_arrays([pa.array([], t) for t in types], names)
+        code = _code(key, bits)
+        order = np.argsort(code)
+        code = code[order]
+        starts = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
+        kinds = np.diff(np.r_[starts, len(code)])
+        again = np.repeat(kinds > 1, kinds)
+        own, mine = code[again], twin[order[again]]
+        inner = np.lexsort((mine, own))
+        own, mine = own[inner], mine[inner]
+        fresh = np.r_[True, (own[1:] != own[:-1]) | (mine[1:] != mine[:-1])][: len(own)]
+        kinds[kinds > 1] = np.unique(own[fresh], return_counts=True)[1]
+        code = code[starts]
+        power = np.minimum(np.ceil(np.log2(kinds)), (1 << _SIZE) - 1).astype(np.uint64)
+        bucket = (code >> np.uint64(_KEPT)).astype(np.int64)
+        packed = ((code & np.uint64((1 << _KEPT) - 1)) << np.uint64(_SIZE) | power).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_BYTES].copy()
+        starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+        blobs = [packed[s:e].tobytes() for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(bucket)])]
+        return pa.Table.from_arrays([pa.array(bucket[starts]), pa.array([left.column("chunk")[0].as_py()] * len(blobs), pa.int64()), pa.array(blobs, pa.binary())], names)
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for bucket, rows in groupby(_rows(batches), lambda r: r[0]):
-            chunks, blobs = zip(*((c, b) for _, c, b in rows))
-            sizes = np.array([len(b) // 6 for b in blobs])
+            chunks, blobs = zip(*((chunk, grams) for _, chunk, grams in rows))
+            sizes = np.array([len(b) // _BYTES for b in blobs])
             raw = np.zeros((int(sizes.sum()), 8), np.uint8)
-            raw[:, :6] = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, 6)
+            raw[:, :_BYTES] = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, _BYTES)
             packed = raw.view("<u8").ravel()
             owner = np.repeat(np.arange(len(blobs)), sizes)
             gram, kinds = packed >> np.uint64(_SIZE), np.left_shift(1, (packed & np.uint64((1 << _SIZE) - 1)).astype(np.int64))
-            order = np.argsort(gram, kind="stable")
-            starts = np.flatnonzero(np.r_[True, gram[order][1:] != gram[order][:-1]])
+            order = np.argsort(gram)
+            ranked = gram[order]
+            starts = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]])
             count = np.diff(np.r_[starts, len(gram)])
             total = np.add.reduceat(kinds[order], starts)
             state = np.empty(len(gram), np.int8)
@@ -203,7 +209,8 @@ def _shared_grams(chunks: DataFrame, bits: int, least: int) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out)], ["chunk", "hot", "codes"])
 
-    asked = map_arrow(chunks.select("chunk", "text"), ask, "bucket long, chunk long, grams binary")
+    ship_package(chunks.sparkSession)
+    asked = chunks.select("chunk", "nth", "text").groupBy("chunk").cogroup(copies.groupBy("chunk")).applyInArrow(ask, "bucket long, chunk long, grams binary")
     return map_arrow(asked.repartition("bucket").sortWithinPartitions("bucket"), answer, "chunk long, hot boolean, codes binary")
 
 
@@ -228,30 +235,45 @@ def _pieces(text: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray
 
 def _settle(key: np.ndarray, twin: np.ndarray, rank: np.ndarray, start: np.ndarray, size: np.ndarray, text: np.ndarray) -> np.ndarray:
     """For each stretch the stretch of the least rank with the same bytes, or itself if that has its rank."""
-    order = np.lexsort((rank, twin, key))
-    new = np.r_[True, (key[order][1:] != key[order][:-1]) | (twin[order][1:] != twin[order][:-1]) | (size[order][1:] != size[order][:-1])][: len(order)]
+    both = _mixed(key, twin + size.astype(np.uint64))
+    order = np.argsort(both)
+    ranked = both[order]
+    same = ranked[1:] == ranked[:-1]
+    order = order[np.r_[same, False] | np.r_[False, same]] if len(order) else order
+    order = order[np.lexsort((rank[order], both[order]))]
+    new = np.r_[True, both[order][1:] != both[order][:-1]][: len(order)]
     lead = order[np.flatnonzero(new)][np.cumsum(new) - 1] if len(order) else order
     chief = np.arange(len(key))
     later = rank[order] > rank[lead]
     own, lead = order[later], lead[later]
     for at in range(0, len(own), 1 << 14):
         x, y = own[at: at + (1 << 14)], lead[at: at + (1 << 14)]
-        same = (_pieces(text, start[x], size[x]) == _pieces(text, start[y], size[y])).all(axis=1)
+        same = (size[x] == size[y]) & (_pieces(text, start[x], size[x]) == _pieces(text, start[y], size[x])).all(axis=1)
         chief[x[same]] = y[same]
     return chief
 
 
-def _sent(chunks: DataFrame, shared: DataFrame, bits: int, slots: int, least: int) -> DataFrame:
+def _unions(owner: np.ndarray, start: np.ndarray, size: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Owner, start and size of the unions of spans of each owner; ``base`` sets the owners' texts one behind the other."""
+    begin, end = merged(start + base[owner] + owner, size)      # one place between two texts, so that spans of two never touch
+    own = np.searchsorted(base + np.arange(len(base)), begin, "right") - 1
+    return own, begin - base[own] - own, end - begin
+
+
+def _sent(chunks: DataFrame, copies: DataFrame, shared: DataFrame, bits: int, slots: int, least: int, merge: bool) -> DataFrame:
     """(slot, key, chunk, nth, owner, start, size, body, chief_nth, chief_start).
 
     With a body: a stretch to compare with those of other chunks. Without: its bytes are those of a stretch of a smaller document of
     the chunk, the chief, so it is a repeat whatever others hold. A gram that many documents share is thus sent once a chunk.
+    With ``merge``, overlapping stretches of the latter kind become one row, without a chief. ``key`` tells grams of a slot apart, as
+    far as 16 bits do.
     """
     kind = chunks.schema["doc_id"].dataType.simpleString()
     schema = f"slot long, key long, chunk long, nth long, owner {kind}, start long, size long, body binary, chief_nth long, chief_start long"
 
     def rows(left: pa.Table, right: pa.Table) -> pa.Table:
         names = [f.split()[0] for f in schema.split(", ")]
+        left = _without(left, right.column("nth"))
         owners = left.column("doc_id").combine_chunks()
         types = [pa.int64()] * 4 + [owners.type] + [pa.int64()] * 2 + [pa.binary()] + [pa.int64()] * 2
         empty = pa.Table.from_arrays([pa.array([], t) for t in types], names)
@@ -260,8 +282,8 @@ def _sent(chunks: DataFrame, shared: DataFrame, bits: int, slots: int, least: in
         chunk = left.column("chunk")[0].as_py()
         texts = [t or b"" for t in left.column("text").to_pylist()]
         numbers, rank = left.column("nth").to_numpy(), _ranks(owners)
-        codes = {hot: np.sort(np.concatenate([np.zeros(0, "<u8"), *(np.frombuffer(c, "<u8") for c, h in zip(right.column("codes").to_pylist(), right.column("hot").to_pylist()) if h == hot)]))
-                 for hot in (False, True)}
+        told = [(h, np.frombuffer(c, "<u8")) for c, h in zip(right.column("codes").to_pylist(), right.column("hot").to_pylist()) if c is not None]
+        codes = {hot: np.sort(np.concatenate([np.zeros(0, "<u8"), *(c for h, c in told if h == hot)])) for hot in (False, True)}
 
         def among(code: np.ndarray, hot: bool) -> np.ndarray:
             have = codes[hot]
@@ -284,20 +306,26 @@ def _sent(chunks: DataFrame, shared: DataFrame, bits: int, slots: int, least: in
         text, size = np.frombuffer(b"".join(texts), np.uint8), windows + least - 1
         chief = _settle(key, twin, rank[owner], start, size, text)
         own = chief == np.arange(len(key))
-        send = np.flatnonzero(own & (whole | among(_code(key, bits), False)))
-        known = np.flatnonzero(~own)
-        both, inside = np.r_[send, known], start - base[owner]
-        raw = memoryview(text)
-        bodies = [bytes(raw[s:e]) for s, e in zip(start[send].tolist(), (start + size)[send].tolist())] + [None] * len(known)
-        slot = np.r_[key[send] % np.uint64(slots), twin[known] % np.uint64(slots)].astype(np.int64)
-        absent = np.r_[np.ones(len(send), bool), np.zeros(len(known), bool)]
-        columns = [pa.array(slot), pa.array(key[both].view(np.int64)), pa.array(np.full(len(both), chunk)), pa.array(numbers[owner[both]]), owners.take(pa.array(owner[both])),
-                   pa.array(inside[both]), pa.array(size[both]), pa.array(bodies, pa.binary()),
-                   pa.array(numbers[owner[chief[both]]], mask=absent), pa.array(inside[chief[both]], mask=absent)]
+        send, known, inside = np.flatnonzero(own & (whole | among(_code(key, bits), False))), np.flatnonzero(~own), start - base[owner]
+        if merge:
+            known_owner, known_start, known_size = _unions(owner[known], inside[known], size[known], base)
+        else:
+            known_owner, known_start, known_size = owner[known], inside[known], size[known]
+        raw, n = memoryview(text), len(known_owner)
+        bodies = [bytes(raw[s:e]) for s, e in zip(start[send].tolist(), (start + size)[send].tolist())] + [None] * n
+        slot = np.r_[(key[send] % np.uint64(slots)).astype(np.int64), (chunk * 31 + np.arange(n)) % slots]
+        chief_owner, chief_start = (known_owner, known_start) if merge else (owner[chief[known]], inside[chief[known]])
+        sent, settled = np.zeros(len(send), np.int64), np.zeros(n, np.int64)
+        absent, both = np.r_[sent == 0, settled > 0] if not merge else np.ones(len(send) + n, bool), np.r_[owner[send], known_owner]
+        columns = [pa.array(slot), pa.array(np.r_[((key[send] // np.uint64(slots)) & np.uint64(0xFFFF)).astype(np.int64), settled]), pa.array(np.full(len(both), chunk)),
+                   pa.array(numbers[both]), owners.take(pa.array(both)), pa.array(np.r_[inside[send], known_start]),
+                   pa.array(np.r_[sent, known_size], mask=np.r_[sent == 0, settled > 0]), pa.array(bodies, pa.binary()),
+                   pa.array(numbers[np.r_[owner[send], chief_owner]], mask=absent), pa.array(np.r_[inside[send], chief_start], mask=absent)]
         return pa.Table.from_arrays(columns, names)
 
-    ship_package(chunks.sparkSession)
-    return chunks.groupBy("chunk").cogroup(shared.groupBy("chunk")).applyInArrow(rows, schema)
+    notes = shared.select("chunk", "hot", "codes", F.lit(None).cast("long").alias("nth")).unionByName(
+        copies.select("chunk", F.lit(None).cast("boolean").alias("hot"), F.lit(None).cast("binary").alias("codes"), "nth"))
+    return chunks.select("chunk", "nth", "doc_id", "text").groupBy("chunk").cogroup(notes.groupBy("chunk")).applyInArrow(rows, schema)
 
 
 # --- enhanced suffix arrays
@@ -423,7 +451,8 @@ class Slot:
             rows.append(lead[at])
             starts.append(np.repeat(place, n))
             lengths.append(np.repeat(long, n))
-        return np.concatenate(rows), np.concatenate(starts), np.concatenate(lengths)
+        row, start, size = np.concatenate(rows), np.concatenate(starts), np.concatenate(lengths)
+        return _unions(row, start, size, np.arange(len(self.code) + 1) * (int(sizes.max(initial=0)) + 1))
 
 
 def _by_slot(sent: DataFrame) -> DataFrame:
@@ -448,13 +477,14 @@ def _spans(sent: DataFrame, least: int) -> DataFrame:
     return map_arrow(_by_slot(sent.select(columns)), rows, "chunk long, nth long, start long, size long")
 
 
-def _prepared(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
-    """The chunks of ``docs`` and what they send."""
+def _prepared(docs: DataFrame, least: int, merge: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The chunks of ``docs``, which texts are copies, and what the others send."""
     chunks = _chunks(docs)
     total = chunks.agg(F.sum("size")).first()[0] or 0
     bits = min(20, (total // BUCKET_BYTES).bit_length())
-    shared = _shared_grams(chunks, bits, least)
-    return chunks, _sent(chunks, shared, bits, 1 + total // SLOT_BYTES, least)
+    copies = cut_lineage(_copies(chunks))
+    shared = _shared_grams(chunks, copies, bits, least)
+    return chunks, copies, _sent(chunks, copies, shared, bits, 1 + total // SLOT_BYTES, least, merge)
 
 
 def merged(start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -471,10 +501,11 @@ def without_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
     A byte goes if a string of ``least`` bytes that covers it also starts in a document with a smaller doc_id. Strings are judged on the
     input and never cross documents. Null and empty texts have no bytes; documents with the same doc_id are not smaller than
     each other, a null doc_id is larger than all others; repeated rows give repeated results. Other columns are not read. A text
-    is worked on in one task. Results do not depend on hashes: equal stretches are compared byte by byte before they count.
+    is worked on in one task. Hashes only bring stretches together: they are compared byte by byte before they count. Copies of whole texts
+    are told by SHA-256.
     """
-    chunks, sent = _prepared(docs, least)
-    spans = _spans(sent, least)
+    chunks, copies, sent = _prepared(docs, least, True)
+    spans = _spans(sent, least).unionByName(copies.where(F.col("size") >= least).select("chunk", "nth", F.lit(0).cast("long").alias("start"), "size"))
     kind = chunks.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, text binary, n_bytes long, n_removed long, n_spans long"
 
@@ -498,9 +529,10 @@ def without_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
 def repeat_groups(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """(group_id, length, doc_id, start): every occurrence of each maximal repeat of ``least`` bytes or more within a stretch.
 
-    A repeat longer than a stretch comes as several groups that overlap. Occurrences that a chunk folds join their chief's groups here.
+    A repeat longer than a stretch comes as several groups that overlap. Occurrences that a chunk folds join their chief's groups here, and
+    so do copies of whole texts. A text that only its copies repeat has no group.
     """
-    chunks, sent = _prepared(docs, least)
+    chunks, copies, sent = _prepared(docs, least, False)
     sent = written(sent, "stretches")
     schema = "group_id string, length long, chunk long, nth long, run long, place long"
 
@@ -522,6 +554,12 @@ def repeat_groups(docs: DataFrame, least: int = LEAST) -> DataFrame:
     found = map_arrow(_by_slot(sent.where("body IS NOT NULL").drop("chief_nth", "chief_start")), rows, schema)
     folded = sent.where("body IS NULL").select("chunk", F.col("chief_nth").alias("nth"), F.col("chief_start").alias("run"), F.col("nth").alias("own_nth"), F.col("start").alias("own_run"))
     more = found.join(folded, ["chunk", "nth", "run"]).select("group_id", "length", "chunk", F.col("own_nth").alias("nth"), F.col("own_run").alias("run"), "place")
-    every = found.unionByName(more).join(chunks.select("chunk", "nth", "doc_id"), ["chunk", "nth"])
+    # Copies have the groups of the text they repeat.
+    texts = chunks.select("chunk", "nth", "doc_id", "digest")
+    first = texts.join(copies.select("chunk", "nth"), ["chunk", "nth"], "left_anti")
+    every = found.unionByName(more).join(first.select("chunk", "nth", "doc_id", "digest"), ["chunk", "nth"])
+    again = every.drop("doc_id").join(texts.join(copies.select("chunk", "nth"), ["chunk", "nth"], "left_semi").select("digest", "doc_id"), "digest")
+    every = every.select("group_id", "length", "doc_id", (F.col("run") + F.col("place")).alias("start")).unionByName(
+        again.select("group_id", "length", "doc_id", (F.col("run") + F.col("place")).alias("start")))
     several = every.groupBy("group_id").agg(F.count("*").alias("n")).where("n > 1")
-    return every.join(several, "group_id").select("group_id", "length", "doc_id", (F.col("run") + F.col("place")).alias("start"))
+    return every.join(several, "group_id")
