@@ -98,6 +98,11 @@ def dga_likelihood(queries: DataFrame, ttl_s: int = DAY_S, high_microbits: int =
     """First-seen names whose leftmost label looks generated. Low bands use up the first sighting."""
     named = queries.withColumn("dst", text.strip_dots(F.col("dst"))).where("dst <> ''")
     first = scan.anchored_windows(_first_per_second(named, ["dst"], ["src", "ts_iso"]), ["dst"], "epoch_s", ttl_s)
+    return generated_names(first, high_microbits, medium_microbits)
+
+
+def generated_names(first: DataFrame, high_microbits: int = 2_850_000, medium_microbits: int = 2_400_000) -> DataFrame:
+    """First sightings (src, dst, epoch_s, ts_iso) whose leftmost label is in a high or medium band."""
     label = text.leftmost_label(F.col("dst"))
     return (
         first
@@ -111,6 +116,16 @@ def dga_likelihood(queries: DataFrame, ttl_s: int = DAY_S, high_microbits: int =
 
 # --- BD-3 DNS tunnelling -----------------------------------------------------
 
+def label_signals(queries: DataFrame, label_len: int = 24, high_microbits: int = 3_100_000) -> DataFrame:
+    """(src, event_id, epoch_s, ts_iso, chars, long_label, data_type) of each query. Only labels that are long enough are measured."""
+    label = text.leftmost_label(text.strip_dots(F.col("dst")))
+    qtype = F.upper(F.coalesce(F.when(F.col("qtype") != "", F.col("qtype")), F.lit("A")))
+    suspicious = F.when(F.length(label) >= label_len, text.entropy_microbits(label) >= high_microbits)
+    return queries.select(
+        "src", "event_id", "epoch_s", "ts_iso", F.length(label).cast("long").alias("chars"),
+        F.coalesce(suspicious, F.lit(False)).alias("long_label"), qtype.isin(*DATA_QUERY_TYPES).alias("data_type"))
+
+
 def dns_tunneling(queries: DataFrame, window_queries: int = 200, min_queries: int = 40, label_len: int = 24,
                   high_microbits: int = 3_100_000, min_share_micros: int = 350_000, min_avg_chars: int = 60,
                   idle_s: int = 3600, chunk_s: int = 60) -> DataFrame:
@@ -124,14 +139,7 @@ def dns_tunneling(queries: DataFrame, window_queries: int = 200, min_queries: in
     """
     if chunk_s > idle_s:
         raise ValueError("chunk_s must not exceed idle_s")
-    label = text.leftmost_label(text.strip_dots(F.col("dst")))
-    qtype = F.upper(F.coalesce(F.when(F.col("qtype") != "", F.col("qtype")), F.lit("A")))
-    suspicious = (F.length(label) >= label_len) & (text.entropy_microbits(label) >= high_microbits)
-    rows = queries.select(
-        "src", "event_id", "epoch_s", "ts_iso", scan.chunk_of("epoch_s", chunk_s).alias("chunk"),
-        F.length(label).cast("long").alias("chars"), F.coalesce(suspicious, F.lit(False)).alias("long_label"),
-        qtype.isin(*DATA_QUERY_TYPES).alias("data_type"),
-    )
+    rows = label_signals(queries, label_len, high_microbits).withColumn("chunk", scan.chunk_of("epoch_s", chunk_s))
     by_client = W.partitionBy("src").orderBy("chunk")
     chunks = (
         rows.groupBy("src", "chunk").agg(F.count("*").alias("n"), F.min("epoch_s").alias("lo"), F.max("epoch_s").alias("hi"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from threatloom.operators import detectors as d
+from threatloom.operators import capacity, detectors as d
 from threatloom.operators import scan
 from threatloom.queries import frames as f
 from threatloom.queries.frames import ANSWERS_SQL, CONTACTS_SQL, FLOWS_SQL, PAGES_SQL, TLS_SQL, TUNNEL_SQL
@@ -20,7 +20,7 @@ QUERIES, ORACLES = query.queries, query.oracles
 
 
 # Gaps between contacts of one (user, name) pair span days here, hence the wide medians.
-_BEACON = {"min_events": 4, "tolerance_micros": 900_000, "min_median_s": 10, "max_median_s": 10_000_000}
+BEACON = {"min_events": 4, "tolerance_micros": 900_000, "min_median_s": 10, "max_median_s": 10_000_000}
 
 QUERIES_SQL_BEACON = f"""WITH RECURSIVE {CONTACTS_SQL},
  s AS (SELECT src, dst, epoch_s, arg_min(ts_iso, event_id) AS ts_iso FROM contacts GROUP BY 1, 2, 3),
@@ -42,7 +42,7 @@ FROM ok JOIN e USING (src, dst, gap_no)"""
 
 @query("bd1_beacon_periodicity", QUERIES_SQL_BEACON)
 def bd1(spark, sf_dir):
-    return d.beacon_periodicity(f.contacts(spark, sf_dir), **_BEACON)
+    return d.beacon_periodicity(f.contacts(spark, sf_dir), **BEACON)
 
 
 @query("bd2_dga_likelihood", f"""WITH RECURSIVE {PAGES_SQL},
@@ -162,3 +162,41 @@ SELECT src, epoch_s, n FROM a JOIN s USING (src, epoch_s)""")
 def anchored(spark, sf_dir):
     seconds = f.contacts(spark, sf_dir).groupBy("src", "epoch_s").agg(F.count("*").alias("n"))
     return scan.anchored_windows(seconds, ["src"], "epoch_s", 3600)
+
+
+# Small capacities, so that every family fills up: (frame, key columns, capacity, what a full table does).
+_BOUNDED = {
+    "beacon_periodicity": ("contacts", ("src", "dst"), 1000, "ignore"), "first_seen_novelty": ("contacts", ("dst",), 60, "stop"),
+    "sync_first_contact": ("contacts", ("dst",), 1_000_000, "stop"), "dns_tunneling": ("tunnel", ("src",), 3, "stop"),
+    "fastflux": ("answers", ("domain",), 500, "stop"), "volume_anomaly": ("flows", ("host", "dst"), 900, "stop"), "tls_metadata_mismatch": ("tls", ("client", "dst"), 700, "stop"),
+}
+
+
+def _bounded_sql(family: str) -> str:
+    frame, keys, limit, full = _BOUNDED[family]
+    by = ", ".join(keys)
+    shed = f"sum(n) FILTER (place > {limit})" if full == "ignore" else \
+        f"(SELECT count(*) FROM {frame}, (SELECT f FROM p WHERE place = {limit + 1}) AS s WHERE struct_pack(epoch_s := {frame}.epoch_s, event_id := {frame}.event_id) >= s.f)"
+    return f"""SELECT 'behavioral_{family}' AS kind, CAST({limit} AS BIGINT) AS capacity, count(*) FILTER (place <= {limit}) AS tracked_keys,
+      count(*) FILTER (place > {limit}) AS shed_keys, CAST(coalesce({shed}, 0) AS BIGINT) AS shed_events, count(*) > {limit} AS degraded
+    FROM (WITH p AS (SELECT *, row_number() OVER (ORDER BY f, {by}) AS place FROM (SELECT {by}, min(struct_pack(epoch_s := epoch_s, event_id := event_id)) AS f, count(*) AS n FROM {frame} GROUP BY {by})) SELECT * FROM p)""" \
+        if full == "ignore" else f"""SELECT * FROM (WITH p AS (SELECT *, row_number() OVER (ORDER BY f, {by}) AS place FROM (SELECT {by}, min(struct_pack(epoch_s := epoch_s, event_id := event_id)) AS f FROM {frame} GROUP BY {by}))
+      SELECT 'behavioral_{family}' AS kind, CAST({limit} AS BIGINT) AS capacity, count(*) FILTER (place <= {limit}) AS tracked_keys,
+        count(*) FILTER (place > {limit}) AS shed_keys, CAST(coalesce({shed}, 0) AS BIGINT) AS shed_events, count(*) > {limit} AS degraded FROM p)"""
+
+
+@query("bounded_families", f"WITH {CONTACTS_SQL}, {TUNNEL_SQL}, {ANSWERS_SQL}, {FLOWS_SQL}, {TLS_SQL} " + " UNION ALL ".join(map(_bounded_sql, _BOUNDED)))
+def bounded_families(spark, sf_dir):
+    frames = {"contacts": f.contacts, "tunnel": f.tunnel_queries, "answers": f.dns_answers, "flows": f.flows, "tls": f.tls}
+    return capacity.bounded_frames({family: frames[frame](spark, sf_dir) for family, (frame, *_) in _BOUNDED.items()}, {family: limit for family, (_, _, limit, _) in _BOUNDED.items()})[1]
+
+
+@query("bounded_novelty", f"""WITH RECURSIVE {CONTACTS_SQL},
+ stop AS (SELECT f.epoch_s AS stop_s, f.event_id AS stop_id FROM (SELECT dst, min(struct_pack(epoch_s := epoch_s, event_id := event_id)) AS f FROM contacts GROUP BY 1) ORDER BY f OFFSET 60 LIMIT 1),
+ s AS (SELECT dst, epoch_s, arg_min(src, event_id) AS src, arg_min(ts_iso, event_id) AS ts_iso FROM contacts
+       WHERE NOT EXISTS (SELECT 1 FROM stop WHERE epoch_s > stop_s OR (epoch_s = stop_s AND event_id >= stop_id)) GROUP BY 1, 2),
+ {_ANCHORS_SQL}
+SELECT src, dst, epoch_s, ts_iso AS observed_at FROM a JOIN s USING (dst, epoch_s)""")
+def bounded_novelty(spark, sf_dir):
+    kept, _ = capacity.within_capacity(f.contacts(spark, sf_dir), ["dst"], 60)
+    return d.first_seen_novelty(kept)

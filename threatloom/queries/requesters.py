@@ -40,6 +40,8 @@ _TX = """tx AS (SELECT 'c' || o_custkey AS client_ref, strftime(o_orderdate, '%Y
 _HEX_KEY = KEY.ljust(64, b"\0")
 _IPAD, _OPAD = bytes(b ^ 0x36 for b in _HEX_KEY).hex(), bytes(b ^ 0x5C for b in _HEX_KEY).hex()
 _HANDLE = f"'rh--' || sha256(unhex('{_OPAD}') || unhex(sha256(unhex('{_IPAD}') || encode(client_ref))))[1:16]"
+#: For other queries over the same transactions.
+HANDLES_SQL, HANDLE_SQL = _TX, _HANDLE
 _STATES = f"""{_TX}, lf AS (
   SELECT client_ref, observed_at, seen, unnest(['P1:header_order', 'P1:header_set', 'P2:coherence', 'P3:ja4', 'P4:cache_behavior', 'P5:key_order', 'P6:range_fallback']) AS feature,
     unnest([array_to_string(ho, ','), sha256(array_to_string(list_sort(ho), ','))[1:12], p2, p3, p4, p5, p6]) AS value FROM tx),
