@@ -217,3 +217,22 @@ def test_scope_and_reauthorisation_of_both_families(spark):
     decisions = spark.createDataFrame([("d", policy.content_sha256)], "decision_id string, policy_content_sha256 string")
     stale = {r.indicator_id for r in stale_authorizations(actions, indicators, decisions, policy).collect()}
     assert stale == {"wide6", "out6", "out4", "bad"}
+
+
+def test_targets_and_prefix_index_match_the_address_library(spark):
+    import ipaddress
+
+    from threatloom.operators.targets import covering_prefixes, targets
+    from threatloom.plans.policy import allow_key
+    from threatloom.session import cut_lineage
+
+    values = ["1.2.3.4", "1.2.3.4.", "1.2.3.4/32", "1.2.3.9/24", "2001:DB8::1", "2001:db8::/32", "2001:db8::5/128", "Example.COM.", "münchen.example", "*.x.example", "::ffff:1.2.3.4", "", "999.1.1.1", "::/0",
+              "0.0.0.0/0", "2001:db8:0:0:1::/80", "https://x/32"]
+    found = cut_lineage(targets(spark.createDataFrame([(v,) for v in [*values, values[0], None]], "value string")))
+    rows = {r.value: r for r in found.collect()}
+    assert {v: rows[v]._key for v in values} == {v: allow_key(v) for v in values}
+    prefixes = ["1.2.0.0/16", "1.2.3.0/30", "1.2.3.4/32", "0.0.0.0/0", "2001:db8::/29", "2001:db8::/33", "::/0", "2001:DB8:0:0:1::/79", "not a prefix"]
+    met = covering_prefixes(found, spark.createDataFrame([(p,) for p in prefixes], "prefix string")).select("value", "prefix", "bits").collect()
+    net = lambda t: ipaddress.ip_network(t, strict=False)
+    expected = {(v, p, net(p).prefixlen) for v in values if rows[v]._span for p in prefixes[:-1] if net(v).version == net(p).version and net(v).subnet_of(net(p))}
+    assert {tuple(r) for r in met} == expected and expected

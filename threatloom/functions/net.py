@@ -78,11 +78,10 @@ def ipv6_text(digits: Column) -> Column:
     groups = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.regexp_replace(F.substr(digits, k * 4 + 1, F.lit(4)), r"\A0{1,3}", ""))
 
     def shortened(long: Column) -> Column:
-        out = F.when(F.lit(False), long)
-        for run in range(8, 1, -1):
-            pattern = r"\A(?:(.*?):)??0(?::0){%d}(?::(.*))?\z" % (run - 1)
-            out = out.when(long.rlike(pattern), F.regexp_replace(long, pattern, "$1::$2"))
-        return out.otherwise(long)
+        edged = F.concat(F.lit(":"), long, F.lit(":"))
+        runs = F.array(*[F.lit(":" + "0:" * n) for n in range(8, 1, -1)])
+        return _bound(F.try_element_at(F.filter(runs, lambda r: edged.contains(r)), F.lit(1)), lambda run: F.when(run.isNull(), long).otherwise(F.concat(
+            F.substr(long, F.lit(1), F.greatest(F.instr(edged, run) - 2, F.lit(0))), F.lit("::"), F.substr(long, F.instr(edged, run) + F.length(run) - 1))))
 
     mapped = F.concat(F.lit("::ffff:"), ipv4_text(F.conv(F.substring(digits, 25, 8), 16, 10).cast("long")))
     return F.when(digits.startswith("0" * 20 + "ffff"), mapped).when(digits.isNotNull(), _bound(F.array_join(groups, ":"), shortened))

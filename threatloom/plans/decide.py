@@ -9,11 +9,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from threatloom.functions.digest import micros_of, scaled_draw, sha_hex
-from threatloom.functions.instants import recency
-from threatloom.functions.net import canonical_cidr, canonical_ip, subnet_of, with_address_range
+from threatloom.functions.instants import recency, utc_literal
+from threatloom.functions.net import canonical_cidr, canonical_ip, subnet_of
 from threatloom.functions.text import domain_under, idna_name, strip_dots, valid_client
 from threatloom.operators import evidence as ev
+from threatloom.operators.targets import GovernedLists, governed_marks, targets
 from threatloom.plans.policy import Policy, policy_columns, tenant_columns, weights_frame
+from threatloom.session import cut_lineage
 
 ADDRESS_TYPES = ("ipv4", "ipv6", "cidr")
 
@@ -24,14 +26,14 @@ def canonical_key(value: Column) -> Column:
     A name that IDNA refuses stays as it is, in lower case.
     """
     name = strip_dots(F.trim(value))
-    address = F.when(name.contains(":") | name.rlike(r"\A[0-9./]+\z"), F.coalesce(canonical_ip(name), F.regexp_replace(canonical_cidr(name), r"/32\z|(?<=:.{0,40})/128\z", "")))
+    address = F.when(name.contains(":"), F.coalesce(canonical_ip(name), F.regexp_replace(canonical_cidr(name), r"/128\z", ""))) \
+        .when(name.rlike(r"\A[0-9./]+\z"), F.regexp_replace(canonical_cidr(name), r"/32\z", ""))
     return F.coalesce(address, F.lower(idna_name(F.lower(name))), F.lower(name))
 
 
 def with_target(df: DataFrame) -> DataFrame:
-    """Columns the gates read: ``_span`` (address range), ``_name`` (domain form), ``_key`` (allowlist form)."""
-    return with_address_range(df, "value", "_span").withColumns({
-        "_name": F.lower(strip_dots(F.col("value"))), "_key": canonical_key(F.col("value"))})
+    """Columns the gates read: ``_span`` (address range), ``_name`` (domain form), ``_key`` (allowlist form); once per distinct value."""
+    return df.join(targets(df).select("value", "_span", "_name", "_key"), "value", "left")
 
 
 def in_scope(p: dict[str, Column]) -> Column:
@@ -106,20 +108,34 @@ def score(bounded: DataFrame, facts: DataFrame, weights: DataFrame, max_age_hour
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("_reasons")))).alias("reasons"))
 
 
+def with_lists(indicators: DataFrame, policy: Policy, p: dict[str, Column], lists: GovernedLists) -> DataFrame:
+    """``in_scope``, ``_listed``, ``_dedicated`` and ``_rollback`` from lists that are tables: one index join a list over distinct targets."""
+    # Written once: every list reads it.
+    found = cut_lineage(targets(indicators))
+    marks = governed_marks(indicators, found, lists, policy.scope, utc_literal(policy.now))
+    marked = indicators.join(marks, "indicator_id")
+    scope = F.when(F.col("itype").isin(*ADDRESS_TYPES), F.col("_by_address")).otherwise(F.col("_by_name"))
+    return marked.withColumn("in_scope", p["unrestricted"] | scope).drop("_by_address", "_by_name")
+
+
 def scored_indicators(indicators: DataFrame, evidence: DataFrame, sources: DataFrame, policy: Policy,
-                      p: dict[str, Column] | None = None) -> DataFrame:
+                      p: dict[str, Column] | None = None, lists: GovernedLists | None = None) -> DataFrame:
     """Indicators with maliciousness, safety scores and score reasons.
 
     ``p`` gives policy columns present on ``indicators`` (tenant policies);
-    without it the policy is literal.
+    without it the policy is literal. ``lists`` replaces the policy's scope,
+    allowlist and governed lists by tables.
     """
     p = p or policy_columns(policy)
     cap = max(1, policy.max_evidence_per_indicator)
-    indicators = with_target(indicators).withColumn("in_scope", in_scope(p))
+    if lists is None:
+        indicators = with_target(indicators).withColumn("in_scope", in_scope(p))
+        dedicated, rollback = (F.array_contains(p[f"governed_{n}"], F.col("value")) for n in ("dedicated_use", "verified_rollback"))
+    else:
+        indicators = with_lists(indicators, policy, p, lists)
+        dedicated, rollback = F.col("_dedicated"), F.col("_rollback")
     facts = indicators.select(
-        "indicator_id", "in_scope", (F.col("value") != "").alias("exactness"),
-        F.array_contains(p["governed_dedicated_use"], F.col("value")).alias("dedicated_use"),
-        F.array_contains(p["governed_verified_rollback"], F.col("value")).alias("verified_rollback"),
+        "indicator_id", "in_scope", (F.col("value") != "").alias("exactness"), dedicated.alias("dedicated_use"), rollback.alias("verified_rollback"),
         p["now"].alias("now"), p["enabled_families"].alias("_families"), p["max_evidence_per_indicator"].alias("_cap"))
     proven = ev.with_provenance(evidence.select("evidence_id", "indicator_id", "kind", "source_id", F.coalesce("observed_at", F.lit("")).alias("observed_at")), sources)
     tenant_gate = "_policy" in indicators.columns
@@ -177,7 +193,10 @@ def apply_ladder(scored: DataFrame, policy: Policy, p: dict[str, Column] | None
     mode = p["mode"]
 
     unsafe = c("client").isNotNull() & ~valid_client(c("client"))
-    allow = allowlisted(p) & p["allowlist_precedence"] if policy.allowlist else F.lit(False)
+    if "_listed" in scored.columns:
+        allow = c("_listed") & p["allowlist_precedence"]
+    else:
+        allow = allowlisted(p) & p["allowlist_precedence"] if policy.allowlist else F.lit(False)
     df = scored.withColumns({
         "_client": F.when(~unsafe, c("client")), "_allow": allow,
         "_no_dedicated": (c("infra_state") != "dedicated") | ~c("has_dedicated"),
@@ -301,12 +320,13 @@ def apply_ladder(scored: DataFrame, policy: Policy, p: dict[str, Column] | None
 
 
 def decide(indicators: DataFrame, evidence: DataFrame, sources: DataFrame, policy: Policy, overlays: DataFrame | None = None,
-           context: DataFrame | None = None) -> DataFrame:
+           context: DataFrame | None = None, lists: GovernedLists | None = None) -> DataFrame:
     """Decisions for all indicators.
 
     ``context`` (indicator_id, client, protocol_class) defaults to the vote of
     the evidence's own ``client`` and ``protocol_class`` columns. ``overlays``
-    is the table of effective tenant policies.
+    is the table of effective tenant policies. ``lists``: scope, allowlist and
+    governed lists as tables, which then count instead of the policy's own.
     """
     p = policy_columns(policy)
     if overlays is not None:
@@ -314,7 +334,7 @@ def decide(indicators: DataFrame, evidence: DataFrame, sources: DataFrame, polic
         p = tenant_columns(policy)
     if context is None and {"client", "protocol_class"} <= set(evidence.columns):
         context = ev.observation_context(evidence)
-    scored = scored_indicators(indicators, evidence, sources, policy, p)
+    scored = scored_indicators(indicators, evidence, sources, policy, p, lists)
     if context is None:
         scored = scored.withColumns({"client": F.lit(None).cast("string"), "protocol_class": F.lit(None).cast("string")})
     else:

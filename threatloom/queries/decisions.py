@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from threatloom.functions.instants import utc_literal
 from threatloom.operators import evidence as ev
+from threatloom.operators.targets import GovernedLists
 from threatloom.plans import budgets
 from threatloom.plans.decide import apply_ladder, decide, scored_indicators
 from threatloom.plans.policy import AllowEntry, OVERLAY_SCHEMA, Policy, WEIGHTS, effective_policies
@@ -78,11 +79,28 @@ de AS (SELECT *, row_number() OVER (PARTITION BY indicator_id ORDER BY evidence_
 bo AS (SELECT *, {_fresh_sql(policy)} AS fresh FROM de WHERE rn <= {policy.max_evidence_per_indicator})"""
 
 
-def scored_sql(policy=POLICY):
+_SCOPE_SQL = """CASE WHEN itype IN ('ipv4', 'cidr') THEN CAST(split_part(value, '.', 3) AS INT) BETWEEN 96 AND 111
+    ELSE value LIKE '%.invalid' END"""
+
+
+@dataclasses.dataclass(frozen=True)
+class ListsSql:
+    """The conditions of a policy's lists where they are tables: indicators, further CTEs, and one condition a list."""
+
+    indicators: str
+    tables: str
+    scope: str
+    allow: str
+    dedicated: str
+    rollback: str
+
+
+def scored_sql(policy=POLICY, lists: ListsSql | None = None):
     cap = policy.max_evidence_per_indicator
-    return f"""{INDICATORS_SQL}, {bounded_sql(policy)}, {_WEIGHTS_SQL},
-sc AS (SELECT *, CASE WHEN itype IN ('ipv4', 'cidr') THEN CAST(split_part(value, '.', 3) AS INT) BETWEEN 96 AND 111
-    ELSE value LIKE '%.invalid' END AS in_scope FROM ind),
+    dedicated = lists.dedicated if lists else f"value IN ({_quoted(policy.governed_dedicated_use) or "''"})"
+    rollback = lists.rollback if lists else f"value IN ({_quoted(policy.governed_verified_rollback) or "''"})"
+    return f"""{lists.indicators + ', ' + lists.tables if lists else INDICATORS_SQL}, {bounded_sql(policy)}, {_WEIGHTS_SQL},
+sc AS (SELECT *, {lists.scope if lists else _SCOPE_SQL} AS in_scope FROM ind),
 fa AS (SELECT b.*, sc.in_scope, sc.value, max(fresh) OVER w AS any_fresh,
     count(DISTINCT CASE WHEN eff IN ('curated', 'community') AND qualified AND kind IN ('curated_source', 'direct_local_detection') AND fresh THEN identity END) OVER w AS ups
   FROM bo b JOIN sc USING (indicator_id) WINDOW w AS (PARTITION BY indicator_id)),
@@ -90,8 +108,8 @@ st AS (SELECT fa.*, coalesce(x.m, a.m, 0) AS bm0, coalesce(x.s_ctx, a.s_ctx, 0)
     x.m IS NOT NULL OR a.m IS NOT NULL AS weighted, coalesce(pl.m, 0) AS plain,
     CASE WHEN fa.kind LIKE 'behavioral%' AND eff <> 'local' THEN 'v'
       WHEN (fa.kind = 'recent' AND NOT any_fresh) OR (fa.kind = 'bounded_scope' AND NOT in_scope) OR (fa.kind = 'exactness' AND value = '')
-        OR (fa.kind IN ('dedicated_use', 'dedicated_use_provenance') AND value NOT IN ({_quoted(policy.governed_dedicated_use) or "''"}))
-        OR (fa.kind = 'verified_rollback' AND value NOT IN ({_quoted(policy.governed_verified_rollback) or "''"})) THEN 'u' ELSE 'c' END AS stand
+        OR (fa.kind IN ('dedicated_use', 'dedicated_use_provenance') AND NOT ({dedicated}))
+        OR (fa.kind = 'verified_rollback' AND NOT ({rollback})) THEN 'u' ELSE 'c' END AS stand
   FROM fa LEFT JOIN wt x ON x.cls = eff AND x.kind = fa.kind LEFT JOIN wt a ON a.cls = 'any' AND a.kind = fa.kind AND eff IN ('curated', 'local')
   LEFT JOIN wt pl ON pl.cls = eff AND pl.kind = 'curated_source'),
 un AS (SELECT *, stand = 'c' AND kind IN ('single_curated_source', 'two_curated_sources') AND bm0 > 0 AND fresh
@@ -137,7 +155,7 @@ def _draw_sql(seed, nominal, lo, hi, domain="drbg-v1"):
     return f"({lo} + CAST({word} % {hi - lo + 1} AS BIGINT))"
 
 
-def decided_sql(policy=POLICY, out="decided"):
+def decided_sql(policy=POLICY, out="decided", lists: ListsSql | None = None):
     fl = policy.rung_floors
     allow = " WHEN ".join(
         f"value = '{e.canonical}' THEN {'true' if e.expires_at is None or e.expires_at > policy.now and e.expires_at[:1].isdigit() else 'false'}"
@@ -152,12 +170,12 @@ def decided_sql(policy=POLICY, out="decided"):
         rung = next((r for r in ("L1", "L2", "L4", "L5") if r in text or r.lower() + "_requires" in text), None)
         return "NULL" if rung and rung not in fl else f"CASE WHEN {cond} THEN '{text}' END"
 
-    return f"""{scored_sql(policy)}, {CONTEXT_SQL},
+    return f"""{scored_sql(policy, lists)}, {CONTEXT_SQL},
 l0 AS (SELECT s.*, CASE WHEN regexp_full_match(c.client, '[A-Za-z0-9_.:-]{{1,128}}') THEN c.client END AS client,
-    c.client IS NOT NULL AND NOT regexp_full_match(c.client, '[A-Za-z0-9_.:-]{{1,128}}') AS unsafe, c.protocol, itype = 'ipv4' AS ip, itype = 'fqdn' AS fqdn, fams > 0 AND fams < {policy.deny_families} AS thin,
+    c.client IS NOT NULL AND NOT regexp_full_match(c.client, '[A-Za-z0-9_.:-]{{1,128}}') AS unsafe, c.protocol, itype IN ('ipv4', 'ipv6') AS ip, itype = 'fqdn' AS fqdn, fams > 0 AND fams < {policy.deny_families} AS thin,
     fams > 0 AND {str(policy.deny_requires_external).lower()} AND ups = 0 AS alone, infra <> 'dedicated' OR NOT ded AS noded,
     coalesce(regexp_full_match(c.client, '[A-Za-z0-9_.:-]{{1,128}}'), false) AS hasc, c.protocol IS NOT NULL AS inter,
-    CASE WHEN {allow} ELSE false END AS allow FROM scored s LEFT JOIN ctx c USING (indicator_id)),
+    {lists.allow if lists else f'CASE WHEN {allow} ELSE false END'} AS allow FROM scored s LEFT JOIN ctx c USING (indicator_id)),
 l1 AS (SELECT *, CASE WHEN ip AND NOT thin AND NOT alone AND NOT noded AND {floor_case('L5', 's_ip')} THEN 'L5'
     WHEN fqdn AND NOT thin AND NOT alone AND {floor_case('L4', 's_ctx')} THEN 'L4' WHEN (ip OR fqdn) AND hasc AND {floor_case('L2', 's_ctx')} THEN 'L2'
     WHEN itype <> 'cidr' AND hasc AND inter AND {floor_case('L1', 's_ctx')} THEN 'L1' ELSE 'L0' END AS lr,
@@ -206,9 +224,9 @@ FLAT = ("decision_id", "indicator_id", "maliciousness", "s_ctx", "s_ip", "action
         "nominal_ttl_seconds", "ttl_seconds")
 
 
-def flat(df):
+def flat(df, *more):
     """Decision columns in the form both engines can compare."""
-    return df.select(*FLAT, F.array_join("reason_codes", ";").alias("reason_codes"), F.col("selector.scope_type").alias("scope_type"),
+    return df.select(*FLAT, *more, F.array_join("reason_codes", ";").alias("reason_codes"), F.col("selector.scope_type").alias("scope_type"),
                      F.col("selector.client").alias("client"), F.col("selector.protocol_class").alias("protocol_class"),
                      F.col("selector.rate_ceiling_per_min").alias("rate_ceiling"), "explanation")
 
@@ -377,3 +395,65 @@ def ladder_context_free(spark, sf_dir):
     scored = scored_indicators(*_inputs(spark, sf_dir), POLICY)
     scored = scored.withColumns({"client": F.lit(None).cast("string"), "protocol_class": F.lit(None).cast("string")})
     return apply_ladder(scored, observe).select("indicator_id", "rung")
+
+
+# --- lists as tables, both address families, tenant scopes --------------------------
+
+_ITEM6 = "CASE WHEN p_partkey % 8 < 3 THEN 'fqdn' WHEN p_partkey % 8 < 6 THEN 'ipv4' WHEN p_partkey % 16 = 6 THEN 'cidr' WHEN p_partkey % 16 = 14 THEN 'cidr' WHEN p_partkey % 16 = 7 THEN 'ipv6' ELSE 'url' END"
+_VALUE6 = """CASE WHEN p_partkey % 8 < 3 THEN concat('h', p_partkey, '.s', p_partkey % 300, '.example') WHEN p_partkey % 8 < 6 THEN concat('198.51.', p_partkey % 200, '.', {third})
+      WHEN p_partkey % 16 = 6 THEN concat('198.51.', p_partkey % 200, '.0/24') WHEN p_partkey % 16 = 14 THEN concat('2001:db8:', {group}, '::/48')
+      WHEN p_partkey % 16 = 7 THEN concat('2001:db8:', {group}, '::', {host}) ELSE concat('https://u', p_partkey, '.example') END"""
+
+
+def _value6(spark: bool) -> str:
+    number = lambda n: f"lower(hex({n}))" if spark else f"lower(printf('%x', {n}))"
+    return _VALUE6.format(third="(p_partkey div 32) % 256" if spark else "(p_partkey // 32) % 256", group=number("p_partkey % 500 + 16"), host=number("p_partkey + 1"))
+
+
+def indicators6(spark, sf_dir):
+    return f.table(spark, sf_dir, "part").selectExpr(
+        "concat('indicator--', p_partkey) as indicator_id", f"{_ITEM6} as itype", f"{_value6(True)} as value",
+        "concat('t', p_partkey % 4) as tenant_id", "concat('b', p_partkey div 500) as batch_id", "p_partkey as pos")
+
+
+LISTS_POLICY = dataclasses.replace(POLICY, authorized_prefixes=(), authorized_domains=(), allowlist=(), governed_dedicated_use=(), governed_verified_rollback=())
+
+
+def governed_lists(spark, sf_dir):
+    """Scope, allowlist and governed lists with an entry an order or more. Tenant t1 narrows its names, t2 its prefixes; t3 asks for what is not there."""
+    orders = f.table(spark, sf_dir, "orders", "o_orderkey", "o_custkey")
+    customers = f.table(spark, sf_dir, "customer", "c_custkey")
+    domains = orders.selectExpr("'*' as owner", "concat('S', o_orderkey % 5000 * 2, '.example.') as domain") \
+        .unionByName(customers.selectExpr("case when c_custkey % 2 = 0 then 't1' else 't3' end as owner", "case when c_custkey % 2 = 0 then concat('h', c_custkey * 3, '.s', c_custkey * 3 % 300, '.example') else concat('x', c_custkey, '.elsewhere') end as domain"))
+    prefixes = orders.selectExpr("'*' as owner", "concat('198.51.', o_orderkey % 100, '.0/24') as prefix") \
+        .unionByName(orders.selectExpr("'*' as owner", "concat('2001:DB8:', hex(o_orderkey % 300 + 16), '::/48') as prefix")) \
+        .unionByName(customers.selectExpr("case when c_custkey % 2 = 0 then 't2' else 't3' end as owner", "case when c_custkey % 2 = 0 then concat('198.51.', c_custkey % 50, '.128/25') else concat('203.0.113.', c_custkey % 256, '/32') end as prefix"))
+    allowlist = orders.selectExpr(
+        "o_orderkey as pos", "case o_orderkey % 3 when 0 then concat('2001:db8:', hex(o_custkey % 500 + 16), ':0:0::', hex(o_custkey + 1)) when 1 then concat('H', o_custkey, '.s', o_custkey % 300, '.example') else concat('198.51.', o_custkey % 200, '.', (o_custkey div 32) % 256) end as canonical",
+        "case o_orderkey % 5 when 0 then 'other' when 1 then '*' else 'tables' end as scope", "case o_orderkey % 4 when 0 then '2001-01-01T00:00:00Z' when 1 then 'someday' when 2 then '2030-01-01T00:00:00Z' end as expires_at")
+    items = indicators6(spark, sf_dir)
+    return GovernedLists(domains, prefixes, allowlist, items.where("pos % 3 = 0").select("value"), items.where("pos % 5 < 2").select("value"))
+
+
+_LISTS_SQL = ListsSql(
+    indicators=f"ind AS (SELECT 'indicator--' || p_partkey AS indicator_id, {_ITEM6} AS itype, {_value6(False)} AS value, 't' || (p_partkey % 4) AS tenant_id, 'b' || (p_partkey // 500) AS batch_id, p_partkey AS pos FROM part)",
+    tables="""gd AS (SELECT DISTINCT 's' || (o_orderkey % 5000 * 2) || '.example' AS d FROM orders), g4 AS (SELECT DISTINCT o_orderkey % 100 AS n FROM orders),
+ g6 AS (SELECT DISTINCT printf('%x', o_orderkey % 300 + 16) AS n FROM orders),
+ od AS (SELECT DISTINCT 'h' || (c_custkey * 3) || '.s' || (c_custkey * 3 % 300) || '.example' AS d FROM customer WHERE c_custkey % 2 = 0 AND 's' || (c_custkey * 3 % 300) || '.example' IN (SELECT d FROM gd)),
+ o4 AS (SELECT DISTINCT c_custkey % 50 AS n FROM customer WHERE c_custkey % 2 = 0 AND c_custkey % 50 IN (SELECT n FROM g4)),
+ al AS (SELECT o_orderkey AS pos, CASE o_orderkey % 3 WHEN 0 THEN '2001:db8:' || printf('%x', o_custkey % 500 + 16) || '::' || printf('%x', o_custkey + 1) WHEN 1 THEN 'h' || o_custkey || '.s' || (o_custkey % 300) || '.example' ELSE '198.51.' || (o_custkey % 200) || '.' || ((o_custkey // 32) % 256) END AS k,
+   o_orderkey % 4 AS e FROM orders WHERE o_orderkey % 5 <> 0 AND o_orderkey % 4 <> 0),
+ ah AS (SELECT k, arg_min(e, pos) AS e FROM al GROUP BY 1)""",
+    scope="""CASE WHEN itype IN ('ipv4', 'cidr', 'ipv6') AND contains(value, ':') THEN (tenant_id <> 't2' OR NOT EXISTS (SELECT 1 FROM o4)) AND split_part(split_part(value, '::', 1), ':', 3) IN (SELECT n FROM g6)
+    WHEN itype IN ('ipv4', 'cidr') AND tenant_id = 't2' AND EXISTS (SELECT 1 FROM o4) THEN itype = 'ipv4' AND TRY_CAST(split_part(value, '.', 3) AS INT) IN (SELECT n FROM o4) AND TRY_CAST(split_part(value, '.', 4) AS INT) >= 128
+    WHEN itype IN ('ipv4', 'cidr') THEN TRY_CAST(split_part(value, '.', 3) AS INT) IN (SELECT n FROM g4)
+    WHEN itype = 'url' THEN false
+    WHEN tenant_id = 't1' AND EXISTS (SELECT 1 FROM od) THEN value IN (SELECT d FROM od)
+    ELSE split_part(value, '.', 2) || '.example' IN (SELECT d FROM gd) END""",
+    allow="value IN (SELECT k FROM ah WHERE e <> 1)", dedicated="value IN (SELECT value FROM ind WHERE pos % 3 = 0)", rollback="value IN (SELECT value FROM ind WHERE pos % 5 < 2)")
+
+
+@query("decide_governed_lists", f"WITH {decided_sql(LISTS_POLICY, lists=_LISTS_SQL)} SELECT {FLAT_SQL}, itype, value FROM decided")
+def decide_governed_lists(spark, sf_dir):
+    decided = decide(indicators6(spark, sf_dir), f.evidence(spark, sf_dir), f.sources(spark, sf_dir), LISTS_POLICY, lists=governed_lists(spark, sf_dir))
+    return flat(decided, "itype", "value")

@@ -13,6 +13,7 @@ from threatloom.functions.instants import is_iso_utc
 from threatloom.functions.net import canonical_cidr, canonical_ip, is_ipv4, is_ipv6
 from threatloom.functions.text import canonical_fqdn, canonical_url, valid_id, valid_label
 from threatloom.operators.evidence import UNREGISTERED, batch_id, resolve_source, strip_claims
+from threatloom.session import cut_lineage
 
 # Structural limits of one payload.
 MAX_INDICATORS = 100_000
@@ -83,7 +84,11 @@ def payload_batches(parsed: DataFrame) -> DataFrame:
 
 
 def accepted_items(parsed: DataFrame) -> DataFrame:
-    """Items of payloads without any violation."""
+    """Items of payloads without any violation.
+
+    The parsed rows are written once: both the failures and the items are read from them, and no filter repeats the checks.
+    """
+    parsed = cut_lineage(parsed)
     failed = parsed.where(F.size("violations") > 0).select("batch_id").distinct()
     return parsed.where("pos is not null").join(failed, "batch_id", "left_anti")
 
