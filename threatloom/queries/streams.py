@@ -31,7 +31,10 @@ def stream_bd1(spark, sf_dir):
 
 @query("stream_bd2_dga", detection.ORACLES["bd2_dga_likelihood"])
 def stream_bd2(spark, sf_dir):
-    return _replay(f.page_queries(spark, sf_dir), lambda s, lateness: families.dga_stream(s, lateness=lateness, medium_microbits=2_000_000), HOUR)
+    # The first page is fetched at the second 0, where every watermark begins: the replay runs a day later.
+    later = f.page_queries(spark, sf_dir).withColumn("epoch_s", F.col("epoch_s") + DAY)
+    found = _replay(later, lambda s, lateness: families.dga_stream(s, lateness=lateness, medium_microbits=2_000_000), HOUR)
+    return found.withColumn("epoch_s", F.col("epoch_s") - DAY)
 
 
 @query("stream_bd3_tunnel", detection.ORACLES["bd3_dns_tunneling"])
