@@ -17,12 +17,12 @@ def pages(spark, rows):
 
 
 ROWS = [(3, "http://a.example/x y", "<p>same</p>"), (1, None, "<p>same</p>"), (2, "http://b.example/ü\r\nX: y", ""), (4, "u", None), (5, "u", "ü" * 300_000), (6, "u", "ü" * 300_000),
-        (7, "u", "WARC/1.1\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"), (8, "u", "\r\n\r\n"), (None, "n", "<p>same</p>"), (None, "n", "alone"), (9, "u", "twice"), (9, "u", "twice")]
+        (10, "http://long.example/" + "ü/" * 400_000, "<p>long url</p>"), (11, "x" * 70_000, "<p>same</p>"), (7, "u", "WARC/1.1\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"), (8, "u", "\r\n\r\n"), (None, "n", "<p>same</p>"), (None, "n", "alone"), (9, "u", "twice"), (9, "u", "twice")]
 
 
 @pytest.mark.parametrize("chunk", [7, 4096, 1 << 16])
 def test_round_trip(spark, chunk):
-    rows = ROWS if chunk > 100 else [r for r in ROWS if len(r[2] or "") < 1000]
+    rows = ROWS if chunk > 100 else [r for r in ROWS if len(r[2] or "") + len(r[1] or "") < 1000]
     found = [(r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to, r.intact) for r in warc.archived(pages(spark, rows), chunk=chunk).collect()]
     keeper = {}
     for page_id, _, html in rows:

@@ -21,8 +21,8 @@ CHUNK, BATCH = 1 << 16, 1 << 22
 #: Payloads of fewer bytes are never replaced by revisits.
 LEAST_REVISIT = 0
 DATE = "2000-01-01T00:00:00Z"
-#: Longest record header that a reader takes.
-LONGEST_HEADER = 1 << 16
+#: Bytes of a header that may go before the first payload chunk whatever the chunk size.
+HEADER = 1024
 CHUNKS = "record long, chunk long, data binary, digest binary"
 RECORDS = "record long, page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, intact boolean"
 
@@ -85,6 +85,13 @@ def record_chunks(pages: DataFrame, date: str = DATE, chunk: int = CHUNK, least:
                 if refers[k] is not None:
                     payload = payload[:0]
                 running, place = hashlib.sha1(), 0
+                while len(head) > max(chunk, HEADER):          # a very long URL takes chunks of its own
+                    for column, value in zip(out, (number, place, head[:chunk], running.digest())):
+                        column.append(value)
+                    head, place, size = head[chunk:], place + 1, size + chunk
+                    if size >= BATCH:
+                        yield flush()
+                        size, out = 0, ([], [], [], [])
                 for start in range(0, max(1, len(payload)), chunk):
                     part = payload[start: start + chunk]
                     running.update(part)
@@ -144,12 +151,10 @@ class _Reader:
             self.intact = False
 
     def _head_line(self, data: memoryview) -> memoryview:
-        """Take bytes up to the next line end."""
-        end = bytes(data[:LONGEST_HEADER]).find(b"\n")
+        """Take bytes up to the next line end. A header may be as long as its URL; one that never ends leaves the record not intact."""
+        end = bytes(data).find(b"\n")
         cut = len(data) if end < 0 else end + 1
         self.head += data[:cut]
-        if len(self.head) > LONGEST_HEADER:
-            raise ValueError(f"record {self.record} has no end of header")
         return data[cut:]
 
     def _ended(self) -> bool:
