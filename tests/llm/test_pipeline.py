@@ -10,13 +10,13 @@ import __spark_entry__ as entry
 from threatloom.llm import queries
 
 SF = "/root/testdata/sf0.001"
-PLANTED = {"op1_", "op2_", "op3_", "op4_", "op5_", "op6_", "op7_", "op8_", "op9_", "op10_"}
+PLANTED = {f"op{n}_" for n in range(1, 14)}
 
 
 def test_every_operator_has_one_query():
     names = [n for n in entry.queries() if n in queries.QUERIES]
-    assert {n.split("_")[0] + "_" for n in names if n != "pipeline"} == PLANTED and len(names) == 11
-    assert set(queries.ORACLES) == {"op3_decontaminate", "op6_line_dedup", "op7_chat", "op10_warc"}
+    assert {n.split("_")[0] + "_" for n in names if n != "pipeline"} == PLANTED and len(names) == 14
+    assert set(queries.ORACLES) == {"op3_decontaminate", "op6_line_dedup", "op7_chat", "op10_warc", "op11_ranked", "op12_repeats", "op13_infill"}
 
 
 def prose(seed, n):

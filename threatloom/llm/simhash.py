@@ -18,7 +18,9 @@ from threatloom.session import cut_lineage
 
 SEED = 42
 #: Fingerprints compared at once on the side that streams past the homes of an anchor.
-TILE = 2048
+TILE = 512
+#: Close pairs of a tile from which it pays to look whether they have met before.
+CROWD = 2048
 
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
@@ -170,10 +172,16 @@ def _columns(batch: pa.RecordBatch, first: int, count: int = 2) -> np.ndarray:
 
 
 class _Forest:
-    """Joins the pairs of one tile and keeps only those that join something."""
+    """Which members of an anchor hang together so far."""
 
     def __init__(self):
         self.above: dict[int, int] = {}
+        self.outside = 0
+
+    def outsiders(self, n: int) -> int:
+        """The first of ``n`` fresh names, below zero, for members that are no homes."""
+        self.outside += n
+        return -self.outside
 
     def root(self, x: int) -> int:
         above = self.above
@@ -188,25 +196,43 @@ class _Forest:
             self.above[max(x, y)] = min(x, y)
         return x != y
 
+    def links(self, near: np.ndarray, rows: list, columns: list) -> tuple[list[int], list[int]]:
+        """Enough of the links in the matrix ``near`` to join all that it joins, found by merging: each pass links every group of
+        rows at most once, so a tile of n members costs some n steps and not n squared. ``rows``, ``columns``: names."""
+        left: list[int] = []
+        right: list[int] = []
+        while True:
+            a, b = np.array([self.root(x) for x in rows]), np.array([self.root(x) for x in columns])
+            apart = near & (a[:, None] != b[None, :])
+            found = np.flatnonzero(apart.any(axis=1))
+            if not len(found):
+                return left, right
+            for i, j in zip(found.tolist(), apart[found].argmax(axis=1).tolist()):
+                if self.join(rows[i], columns[j]):
+                    left.append(i)
+                    right.append(j)
+
+
+def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Differing bits of each pair."""
+    apart = np.bitwise_count(x[:, None, 0] ^ y[None, :, 0])
+    if x[:, 1].any() or y[:, 1].any():
+        apart += np.bitwise_count(x[:, None, 1] ^ y[None, :, 1])
+    return apart
+
 
 def _close(homes: np.ndarray, others: np.ndarray, distance: int, out: list[np.ndarray]) -> None:
     """Link homes with others within the distance, tile by tile; a tile gives a spanning forest of its links."""
-    words = 2 if homes[:, 1].any() or others[:, 1].any() else 1
     for i in range(0, len(homes), TILE):
         for j in range(0, len(others), TILE):
             x, y = homes[i: i + TILE], others[j: j + TILE]
-            apart = np.bitwise_count(x[:, None, 0] ^ y[None, :, 0])
-            if words == 2:
-                apart = apart + np.bitwise_count(x[:, None, 1] ^ y[None, :, 1])
-            left, right = np.nonzero(apart <= distance)
-            differ = (x[left] != y[right]).any(axis=1)
-            left, right = left[differ], right[differ]
-            if not len(left):
-                continue
-            _, name = np.unique(np.r_[x[left], y[right]], axis=0, return_inverse=True)
-            name, forest = name.ravel(), _Forest()
-            keep = [forest.join(a, b) for a, b in zip(name[: len(left)].tolist(), name[len(left):].tolist())]
-            out.append(np.c_[x[left][keep], y[right][keep]])
+            apart = _apart(x, y)
+            near = (apart <= distance) & (apart > 0)
+            if near.any():
+                _, name = np.unique(np.r_[x, y], axis=0, return_inverse=True)
+                name = name.ravel().tolist()
+                left, right = _Forest().links(near, name[: len(x)], name[len(x):])
+                out.append(np.c_[x[left], y[right]])
 
 
 def _meetings(batches: Iterator[pa.RecordBatch], columns: int = 2) -> Iterator[list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]]:
@@ -323,20 +349,62 @@ def _candidate_members(prints: DataFrame, layout: Layout) -> DataFrame:
 
 def _tiles(homes: np.ndarray, others: np.ndarray, distance: int) -> Iterator[tuple[int, np.ndarray, int, np.ndarray]]:
     """Tile by tile, first home and numbers from it, first other and numbers from it, of distinct pairs within the distance."""
-    for i in range(0, len(homes), TILE):
-        for j in range(0, len(others), TILE):
-            x, y = homes[i: i + TILE], others[j: j + TILE]
-            apart = np.bitwise_count(x[:, None, 0] ^ y[None, :, 0]) + np.bitwise_count(x[:, None, 1] ^ y[None, :, 1])
-            left, right = np.nonzero((apart <= distance) & (apart > 0))
-            if len(left):
-                yield i, left, j, right
+    for i, j, near in _near_tiles(homes, others, distance):
+        left, right = np.nonzero(near)
+        yield i, left, j, right
 
 
-def _proposals(members: DataFrame, distance: int, most: int) -> DataFrame:
+def _near_tiles(homes: np.ndarray, others: np.ndarray, distance: int, own: bool = False) -> Iterator[tuple[int, int, np.ndarray]]:
+    """First home, first other and the matrix of pairs within the distance but not equal. ``own``: the others are the last homes, so a
+    pair comes once."""
+    start = len(homes) - len(others)
+    for i in range(0, len(homes), TILE):
+        for j in range(0, len(others), TILE):
+            if own and i >= start + j + TILE:
+                continue
+            apart = _apart(homes[i: i + TILE], others[j: j + TILE])
+            near = (apart <= distance) & (apart > 0)
+            if own:
+                near &= np.arange(i, i + near.shape[0])[:, None] < np.arange(start + j, start + j + near.shape[1])[None, :]
+            if near.any():
+                yield i, j, near
+
+
+def _home_keys(prints: np.ndarray, layout: Layout) -> np.ndarray:
+    """Home of each fingerprint in each segment, one row a fingerprint."""
+    plain = Layout(layout.bits, layout.distance, tuple(Segment(s.block, s.raw, 0, raw_errors=False) for s in layout.segments))
+    return anchors_of(prints[:, :2], plain)[0].reshape(len(layout.segments), len(prints)).T
+
+
+def _met_before(x: np.ndarray, y: np.ndarray, left: np.ndarray, right: np.ndarray, segment: int) -> np.ndarray:
+    """Which pairs (numbers of home rows) also share a home in an earlier segment."""
+    out = np.zeros(len(left), bool)
+    for at in range(0, len(left), 1 << 12):
+        own, other = left[at: at + (1 << 12)], right[at: at + (1 << 12)]
+        out[at: at + (1 << 12)] = (x[own, :segment] == y[other, :segment]).any(axis=1)
+    return out
+
+
+def _nearest(near: np.ndarray, apart: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Pairs of the matrix in which one is among the ``most`` nearest of the other, and whether these are all."""
+    left, right = np.nonzero(near)
+    bits, keep = apart[left, right], np.zeros(len(left), bool)
+    for side in (left, right):
+        order = np.lexsort((bits, side))
+        starts = np.flatnonzero(np.r_[True, side[order][1:] != side[order][:-1]])
+        sizes = np.diff(np.r_[starts, len(order)])
+        keep[order[np.arange(len(order)) - np.repeat(starts, sizes) < most]] = True
+    return left[keep], right[keep], bool(keep.all())
+
+
+def _proposals(members: DataFrame, layout: Layout, most: int) -> DataFrame:
     """(a, a_high, b, b_high, cut): pairs of ``members(key, fp, fp_high, label)`` whose labels differ.
 
-    ``most`` 0: a spanning forest at each anchor. Else up to ``most`` pairs of two labels in a tile; cut tells that there are more.
+    ``most`` 0: a spanning forest at each anchor. Else a member's ``most`` nearest others in a tile; cut tells that there are more.
+    Where each fingerprint is at its homes alone, the pairs of a crowded tile count at the first home they share and at no other; those of
+    other tiles may come several times and are folded behind the shuffle.
     """
+    distance, alone = layout.distance, all(s.allowed == 0 for s in layout.segments)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, forest = None, _Forest()
@@ -345,26 +413,26 @@ def _proposals(members: DataFrame, distance: int, most: int) -> DataFrame:
             for anchor, homes, own, others in met:
                 if anchor != last:
                     last, forest = anchor, _Forest()
-                for more in (own, others):
-                    for at, left, to, right in _tiles(homes, more, distance):
-                        x, y = homes[at + left], more[to + right]
-                        keep = x[:, 2] != y[:, 2]
-                        x, y = x[keep], y[keep]
-                        if not len(x):
+                for more, inner in ((own, True), (others, False)):
+                    first = len(homes) - len(more) if inner else forest.outsiders(len(more))
+                    for at, to, near in _near_tiles(homes, more, distance, inner):
+                        x, y = homes[at: at + TILE], more[to: to + TILE]
+                        near &= x[:, None, 2] != y[None, :, 2]
+                        if alone and np.count_nonzero(near) > CROWD:
+                            left, right = np.nonzero(near)
+                            before = _met_before(_home_keys(x, layout), _home_keys(y, layout), left, right, anchor >> 40)
+                            near[left[before], right[before]] = False
+                        if not near.any():
                             continue
+                        whole = True
+                        if most:
+                            left, right, whole = _nearest(near, _apart(x, y), most)
+                        else:
+                            left, right = forest.links(near, list(range(at, at + len(x))), list(range(first + to, first + to + len(y))))
+                        x, y = x[left], y[right]
                         swap = (x[:, 0] > y[:, 0]) | ((x[:, 0] == y[:, 0]) & (x[:, 1] > y[:, 1]))
                         x, y = np.where(swap[:, None], y, x), np.where(swap[:, None], x, y)
-                        cut = np.zeros(len(x), np.uint64)
-                        if most == 0:
-                            keep = np.array([forest.join(tuple(a), tuple(b)) for a, b in zip(x[:, :2].tolist(), y[:, :2].tolist())], bool)
-                        else:
-                            _, group = np.unique(np.c_[np.minimum(x[:, 2], y[:, 2]), np.maximum(x[:, 2], y[:, 2])], axis=0, return_inverse=True)
-                            order = np.argsort(group.ravel(), kind="stable")
-                            sizes = np.bincount(group.ravel())
-                            rank = np.empty(len(x), np.int64)
-                            rank[order] = np.arange(len(x)) - np.repeat(np.r_[0, np.cumsum(sizes)[:-1]], sizes)
-                            keep, cut = rank < most, (sizes > most)[group.ravel()].astype(np.uint64)
-                        out.append(np.c_[x[:, :2], y[:, :2], cut][keep])
+                        out.append(np.c_[x[:, :2], y[:, :2], np.full(len(x), not whole, np.uint64)])
             if out:
                 found = np.concatenate(out).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(found[:, k]) for k in range(5)], ["a", "a_high", "b", "b_high", "cut"])
@@ -403,7 +471,7 @@ def similar_groups(docs: DataFrame, width: int = 5, layout: Layout = SIMILAR_08,
 
     Fingerprints of those sets meet at the anchors; a meeting only proposes. One text of each fingerprint stands for it, its other
     texts are checked against that one and stay alone if they fail. Proposals go in rounds: first a spanning forest at each anchor,
-    then more and more of the pairs that join two different groups, until all of them have been checked. So a family of n close
+    then each text's nearest ones in other groups, more and more of them, until all such pairs have been checked. So a family of n close
     texts costs some n checks and each pair that could join something is checked.
     """
     prints = written(fingerprints(docs.select(F.struct("doc_id", _face().alias("face")).alias("doc_id"), "text"), width, layout.bits, once=True), "similar")
@@ -421,7 +489,7 @@ def similar_groups(docs: DataFrame, width: int = 5, layout: Layout = SIMILAR_08,
             named = roots.select(F.col("node").alias("name"), "root")
             labelled = members.withColumn("name", own).join(named, "name", "left").withColumn(
                 "label", F.xxhash64(F.coalesce("root", "name"))).select("key", "fp", "fp_high", "label")
-        proposed = written(_proposals(labelled, layout.distance, most), "proposed")
+        proposed = written(_proposals(labelled, layout, most), "proposed")
         pairs = proposed.join(checked, ["a", "a_high", "b", "b_high"], "left_anti")
         for end, face in (("a", "x"), ("b", "y")):
             pairs = pairs.join(faces.select(F.col("fp").alias(end), F.col("fp_high").alias(f"{end}_high"), F.col("face").alias(face)), [end, f"{end}_high"])
