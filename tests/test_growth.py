@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from threatloom.operators import ledger
+from threatloom.operators import analytics, ledger
 from threatloom.session import ship_package
 
 
@@ -27,3 +27,16 @@ def test_reports_meet_explained_actions(spark):
     assert sorted((r.report_id, r.action_id, r.receipt_id) for r in found.collect()) == [(k, a, r) for k in range(3) for a, r in (("a0", None), ("a1", "r1"), ("a2", "r2"))]
     joins = [line for line in plan_of(found).splitlines() if "Join" in line]
     assert "Inner" in joins[0], joins
+
+
+def test_registry_entry_listed_often_meets_an_address_once(spark):
+    addresses = spark.range(20).selectExpr("concat('i', id) as indicator_id", "concat('198.51.100.', id * 10) as address")
+    classes = spark.range(400).selectExpr("concat('198.51.100.', (id % 4) * 64 + id % 3, '/26') as prefix", "'vpn' as infra_class", "id as version") \
+        .union(spark.sql("select '198.51.100.0/24', 'cdn', 7"))
+    found = {r.indicator_id: (r.infra_class, r.prefix, r.version) for r in analytics.infrastructure_evidence(addresses, classes, [24, 26]).collect()}
+    for k in range(20):
+        block = k * 10 // 64
+        best = max((f"198.51.100.{block * 64 + n % 3}/26", n) for n in range(400) if n % 4 == block)
+        assert found[f"i{k}"] == ("vpn", *best)
+    plan = plan_of(analytics.infrastructure_evidence(addresses, classes, [24, 26]))
+    assert plan.index("Join") < plan.rindex("Aggregate")
