@@ -40,3 +40,18 @@ def test_registry_entry_listed_often_meets_an_address_once(spark):
         assert found[f"i{k}"] == ("vpn", *best)
     plan = plan_of(analytics.infrastructure_evidence(addresses, classes, [24, 26]))
     assert plan.index("Join") < plan.rindex("Aggregate")
+
+
+@pytest.mark.parametrize("tile", [2, 4096])
+def test_patch_coverage_without_shuffled_pairs(spark, tile):
+    assets = [(1, "a"), (1, "b"), (1, "b"), (2, "b"), (3, None), (None, "a"), (4, "z")]
+    advisories = [(n, "ab"[n % 2]) for n in range(10, 21)] + [(12, "b"), (12, "c"), (None, "b")]
+    patches = [(1, 12), (1, 12), (1, 13), (2, 10), (2, 11), (9, 11), (None, 12), (3, None)]
+    frame = lambda rows, names: spark.createDataFrame(rows, names)
+    found = analytics.virtual_patch_coverage(frame(assets, "asset_id long, product string"), frame(advisories, "advisory_id long, product string"),
+                                             frame(patches, "asset_id long, advisory_id long"), tile)
+    exposed = {(a, v) for a, p in assets for v, q in advisories if p is not None and p == q}
+    known = {p for p in set(patches) if None not in p}
+    expected = [(*p, "covered" if p in known else "uncovered") for p in exposed] + [(*p, "orphaned") for p in set(patches) if p not in exposed or p not in known]
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(expected, key=str)
+    assert "FullOuter" not in plan_of(found)
