@@ -1,10 +1,12 @@
 """Work that grows with the input where a key has many rows on both sides."""
 
-import pytest
-from pyspark.sql import functions as F
+import json
 
+import pytest
 from threatloom.operators import analytics, ledger
 from threatloom.session import ship_package
+from threatloom.streaming import families, ordered
+from threatloom.streaming.replay import replayed
 
 
 @pytest.fixture(autouse=True, scope="module")
@@ -55,3 +57,54 @@ def test_patch_coverage_without_shuffled_pairs(spark, tile):
     expected = [(*p, "covered" if p in known else "uncovered") for p in exposed] + [(*p, "orphaned") for p in set(patches) if p not in exposed or p not in known]
     assert sorted(map(tuple, found.collect()), key=str) == sorted(expected, key=str)
     assert "FullOuter" not in plan_of(found)
+
+
+def test_waiting_rows_have_no_limit_of_their_own_and_lie_in_pieces(spark, monkeypatch):
+    """Nothing is shed unless a capacity is asked for, and no piece holds a whole key."""
+    assert families.Volume().capacity is None
+
+    class Store(dict):
+        def getValue(self, k):
+            return self.get(k)
+
+        def updateValue(self, k, v):
+            self[k] = v
+
+        def removeKey(self, k):
+            del self[k]
+
+    class Counter:
+        n = None
+
+        def exists(self):
+            return self.n is not None
+
+        def get(self):
+            return self.n
+
+        def update(self, n):
+            self.n = n
+
+    monkeypatch.setattr(ordered, "PIECE", 7)
+    fold = families.Volume()
+    fold.pieces, fold.counter = Store(), Counter()
+    rows = [(at * 37 % 101, at, "d", 1, 1, "x", "h") for at in range(100)]
+    for start in (0, 40):
+        fold._keep(sorted(rows[start: start + 60][: 40 if not start else 60]))
+    assert max(len(json.loads(v[0])) for v in fold.pieces.values()) == 7
+    assert list(fold._due(50)) == sorted(r for r in rows if r[0] < 50)
+    assert list(fold._due(50)) == [] and list(fold._due(1000)) == sorted(r for r in rows if r[0] >= 50)
+
+
+def test_more_members_than_the_entry_of_a_key_holds(spark, monkeypatch):
+    monkeypatch.setattr(ordered.Members, "LIMIT", 3)
+    schema = "epoch_s long, event_id long, domain string, answer string, ttl long, ts_iso string"
+    rows = [(1_700_000_000 + k * 60, k, "ab"[k % 2], f"10.0.0.{k % 22}", 60, "t") for k in range(80)]
+    found = replayed(spark.createDataFrame(rows, schema), lambda s: families.fastflux_stream(s, "20 minutes"))
+    got = {(r.dst, r.event_id): r.distinct_answers for r in found.where("shed is null").collect()}
+    seen, expected = {"a": [], "b": []}, {}
+    for _, k, domain, answer, *_ in rows:
+        seen[domain].append(answer)
+        if len(set(seen[domain])) >= 5 and len(seen[domain]) >= 8:
+            expected[domain, k] = len(set(seen[domain]))
+    assert got == expected
