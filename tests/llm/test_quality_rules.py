@@ -46,6 +46,15 @@ def test_statistics_and_verdicts(make_docs):
     assert {r.doc_id for r in left.collect()} == kept and left.columns == make_docs(rows).columns
 
 
+def test_texts_without_words_beside_a_fitted_group(make_docs):
+    """A group with an estimate also holds texts without words: nothing is divided by their length."""
+    found = {r.doc_id: r for r in rules.judged(make_docs([(k, prose(k), "en", "s0") for k in range(300)] + [
+        (1000, "", "en", "s0"), (1001, None, "en", "s0"), (1002, " \n\t", "en", "s0"), (1003, "word", "en", "s0")])).collect()}
+    assert len(found) == 304 and all(found[k].kept and found[k].d2 is not None for k in range(300))
+    assert all(found[k].grp == found[0].grp and found[k].base_failed and not found[k].kept for k in range(1000, 1004))
+    assert [found[k].d2 is None for k in range(1000, 1004)] == [True, True, True, False]
+
+
 def test_estimate_ignores_a_minority(spark):
     draw = np.random.default_rng(1)
     axes = list(rules.AXES)
