@@ -136,4 +136,4 @@ def test_alarms_of_a_page_ring_once_and_their_keys_are_forgotten():
     found = list(fold.handleExpiredTimer(None, Times(1_950), None))
     assert sum(map(len, found)) == 900
     assert list(fold.handleExpiredTimer(None, Times(5_000), None)) == []
-    assert not fold.entries and not fold.alarms and not fold.pieces and not fold.timer.exists()
+    assert not fold.entries and fold.alarms.get() == ("{}",) and not fold.pieces and not fold.timer.exists()
